@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and the ASCII controls \t..\r.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-WHITE = " \t\n\x0b\x0c\r"
 
 _own_scratch: dict[str, str] = {}
 
@@ -47,7 +46,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of words of a text; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, out: str, buckets: int) -> DataFrame:

@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     df = df.withColumn("_level", left).withColumn("_stops", F.col("_level") * F.col("weight") >= F.col("_cap"))
-    level = F.min(F.when(~F.col("_stops"), F.col("_level"))).over(all_rows)
+    level = F.max(F.when(~F.col("_stops"), F.col("_level"))).over(all_rows)  # that of the first which does not stop
     return df.withColumn("target", F.when(F.col("_stops"), F.col("_cap")).otherwise(level * F.col("weight"))).drop("_total", "_cap", "_level", "_stops")
 
 

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, stage_table, words_of
+from .common import stage_table, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; percent of words in repeated windows
 #: Dimensions are stored as whole numbers of 1 / SCALE.
@@ -27,10 +27,6 @@ CUT = 64.0  # squared distance
 STEPS = 3
 
 
-def _stripped(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the five base counts (long). A null text counts as empty.
 
@@ -41,19 +37,23 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_words": words_of(F.col(text_col)), "_lines": lines})
     n = F.size("_words")
-    window = lambda i: F.struct(F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2)).alias("h"), i.alias("i"))
-    df = df.withColumn("_windows", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(1), n - 2), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twice = F.filter(F.col("_windows"), lambda x, k: F.coalesce(x["h"] == F.get("_windows", k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_windows", k + 1)["h"], F.lit(False)))
-    df = df.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    df = df.withColumn("_hashes", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)))
+    again = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    df = df.withColumn("_windows", F.when(again, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, k: F.coalesce(x["h"] == F.get("_windows", k)["h"], F.lit(False))
+    df = df.withColumn("_twice", F.sort_array(F.transform(F.filter("_windows", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     # a window adds the words that the one before it doesn't cover: three, or as many as the step between them
-    step = F.transform(F.col("_twice"), lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get("_twice", k - 1), x - 3)))
-    return df.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(_stripped(text, WHITE)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_stripped(text, SYMBOLS))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.aggregate(step, F.lit(0), lambda a, x: a + x).cast("long"),
-    }).drop("_words", "_lines", "_windows", "_twice")
+    step = F.transform("_twice", lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get("_twice", k - 1), x - 3)))
+    counts = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join("_words", "")),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.coalesce(F.aggregate(step, F.lit(0), lambda a, x: a + x), F.lit(0)),
+    }
+    # a generator, so that a filter on a count is not pushed below and evaluated on copies of all of this
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*[x.cast("long").alias(k) for k, x in counts.items()]))))
 
 
 def base_failed() -> Column:

@@ -119,7 +119,7 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 t AS (SELECT *, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS INT)]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM s),
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
-x AS (SELECT *, CASE WHEN level * weight >= cap THEN cap ELSE weight * min(level) FILTER (WHERE level * weight < cap) OVER () END AS target FROM v),
+x AS (SELECT *, CASE WHEN level * weight >= cap THEN cap ELSE weight * max(level) FILTER (WHERE level * weight < cap) OVER () END AS target FROM v),
 l AS (SELECT d.doc_id, d.size, x.source_size, x.target, CAST(floor(x.target + 1e-6) AS BIGINT) AS words, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.k ROWS UNBOUNDED PRECEDING) - d.size AS pos FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(pos + source_size + size, words) - pos - source_size) + greatest(0, least(pos + 2 * source_size + size, words) - pos - 2 * source_size) AS BIGINT) AS taken FROM l""",
 }

@@ -14,6 +14,8 @@ the gaps and into new sequences, as counts of equal bins.
 from __future__ import annotations
 
 import bisect
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -29,35 +31,71 @@ END_ID = 1
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian bytes; this vocabulary drops white space, so words can be encoded one by one.
+class WordIds:
+    """Ids of words as little-endian bytes; this vocabulary drops white space, so words can be encoded one by one.
 
-    White space of ASCII neither joins nor composes with what is beside it. Long
-    words aren't kept, and the table starts anew when full.
+    White space of ASCII neither joins nor composes with what is beside it, and a
+    run of punctuation behind a letter is a piece of its own, so a word's stem and
+    its closing punctuation are encoded apart. Words that aren't known yet go to
+    the tokenizer in batches. Long words aren't kept, and the table starts anew when full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__({"": b""})
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: set[str]) -> None:
+        stems = {w: w.rstrip(string.punctuation) for w in words}
+        stems = {w: s if s[-1:].isascii() and s[-1:].isalpha() and "|>" not in w else w for w, s in stems.items()}
+        new = list({x for w, s in stems.items() for x in (s, w[len(s) :]) if x and x not in self.known})
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            for x, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[x] = np.array(got.ids, "<u4").tobytes()
+        for w, s in stems.items():
+            if s != w:
+                self.known[w] = self.known[s] + self.known[w[len(s) :]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = []
+        for text in texts:
+            text = text or ""
+            for c in "\t\n\r":
+                text = text.replace(c, " ")
+            try:
+                text.encode("latin-1")
+                if "<|" not in text:  # special tokens go by their case
+                    text = text.lower()  # as the vocabulary does; other scripts are left to it
+            except UnicodeEncodeError:
+                pass
+            split.append(text.split(" "))
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        missing = set().union(*split).difference(self.known)
+        self._learn(missing)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > 40:
+                del self.known[w]
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-                self[""] = b""
-            self[word] = ids
-        return ids
 
-    def encode(self, text: str) -> bytes:
-        for c in "\t\n\r":
-            text = text.replace(c, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+_words: dict[str, WordIds] = {}
 
 
-_words: dict[str, WordIds] = {}
+def _encoded(words: WordIds, texts: list[str | None]) -> Iterator[bytes]:
+    """In slices of about a megabyte of text."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t or "")
+        if size >= 1 << 20:
+            yield from words.encode(now)
+            now, size = [], 0
+    if now:
+        yield from words.encode(now)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +106,13 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         if path not in _words:
             _words[path] = WordIds(path)
-        encode = _words[path].encode
         for part in parts:
             out = []
-            for doc, text in zip(part[id_col], part[text_col], strict=True):
-                ids = (encode(text) if text else b"") + end
+            for doc, ids in zip(part[id_col], _encoded(_words[path], list(part[text_col])), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))

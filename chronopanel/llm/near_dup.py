@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Each round has so many times the leaders of the last in a bucket.
+GROWTH = 8
 #: What a null doc_id counts as.
 NO_ID = 2**63 - 1
 #: Words hashed at a time, at least one document.
@@ -158,6 +160,28 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def sketch(registers: np.ndarray) -> np.ndarray:
+    """A byte of each register, eight to a long, filled up with zeros."""
+    low = (registers & np.uint64(0xFF)).astype(np.uint8)
+    return np.pad(low, ((0, 0), (0, -low.shape[1] % 8))).view("<i8")
+
+
+def mismatches(a: Column, b: Column, m: int) -> Column:
+    """Of two sketches, how many of the m registers differ: the bits of each byte of a xor b are folded into its lowest."""
+    total = F.lit(0)
+    for i in range(-(-m // 8)):
+        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def most_mismatches(m: int, threshold: float) -> int:
+    """Registers of a pair at the threshold differ by more than this with a chance of about 1e-8 (5.6 deviations)."""
+    return min(m, int(m * (1 - threshold) + 5.6 * (m * threshold * (1 - threshold)) ** 0.5) + 1)
+
+
 def occurrences(hashes: np.ndarray) -> np.ndarray:
     """A multiset as a set: the k-th of equal shingles gets a hash of its own, so that set overlap is multiset overlap."""
     if not len(hashes):
@@ -187,7 +211,7 @@ def with_hashes(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, h1, h2 (of the text), n (shingles), bands."""
+    """docs (doc_id, text) -> doc_id, h1, h2 (of the text), n (shingles), bands, sketch."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -196,11 +220,12 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 own = part.iloc[done : done + len(some)]
                 done += len(some)
                 hashes, sizes = shingles(some, width)
-                keys = band_keys(bag_minhash(*weighted(hashes, sizes), len(some), bands * rows), bands, rows).view(np.int64)
-                yield pd.DataFrame({"doc_id": own["doc_id"], "h1": own["h1"], "h2": own["h2"], "n": sizes, "bands": list(keys)})
+                registers = bag_minhash(*weighted(hashes, sizes), len(some), bands * rows)
+                keys = band_keys(registers, bands, rows).view(np.int64)
+                yield pd.DataFrame({"doc_id": own["doc_id"], "h1": own["h1"], "h2": own["h2"], "n": sizes, "bands": list(keys), "sketch": list(sketch(registers))})
 
     given = with_hashes(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return given.mapInPandas(run, "doc_id long, h1 long, h2 long, n long, bands array<long>").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return given.mapInPandas(run, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch array<long>").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -254,9 +279,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     rows_ = stage_table(signatures(docs, bands, rows, width), "signatures")
     key = F.coalesce("doc_id", F.lit(NO_ID))
-    texts = rows_.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    texts = rows_.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = stage_table(texts.withColumn("v", F.struct("h1", "h2")), "texts")
-    spread_ = texts.where("n > 0").select("v", "n", F.explode("bands").alias("bucket"))
+    spread_ = texts.where("n > 0").select("v", F.explode("bands").alias("bucket"))
     shared = spread_.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1").select("bucket")
     members = stage_table(spread_.join(shared, "bucket"), "members")
     # the texts of candidates alone, each from the row of its least doc_id: a third of the rows may be copies of one
@@ -265,24 +290,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     wanted = bodies.join(mine, ["_id", "h1", "h2"], "left_semi").dropDuplicates(["_id", "h1", "h2"])
     sets = stage_table(shingle_sets(wanted, width).select(F.struct("h1", "h2").alias("v"), "items"), "shingle-sets")
     labels = stage_table(members.select("v").distinct().withColumn("label", F.col("v")), "labels")
+    about = stage_table(texts.select("v", "n", "sketch").join(labels.select("v"), "v", "left_semi"), "sketches")
     leaders = 1
     while True:
         now = members.join(labels, "v")
         split = now.groupBy("bucket").agg(F.min("label").alias("_p"), F.max("label").alias("_q")).where("_p != _q").select("bucket")
-        now = stage_table(now.join(split, "bucket").withColumn("_salt", F.pmod(F.col("v.h2"), F.lit(leaders))), "unresolved")
+        now = now.join(split, "bucket").join(about, "v").withColumn("_salt", F.pmod(F.col("v.h2"), F.lit(leaders)))
+        now = stage_table(now, "unresolved")
         if now.isEmpty():
             break
-        heads = stage_table(now.groupBy("bucket", "_salt").agg(F.min(F.struct("v", "label", "n")).alias("_head")), "heads")
-        heads = heads.select("bucket", F.col("_head.v").alias("a"), F.col("_head.label").alias("la"), F.col("_head.n").alias("na"))
-        pairs = now.join(heads, "bucket").where((F.col("label") != F.col("la")) & (F.least("n", "na") >= threshold * F.greatest("n", "na")))
-        pairs = stage_table(pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct(), "pairs")
+        heads = now.groupBy("bucket", "_salt").agg(F.min(F.struct("v", "label", "n", "sketch")).alias("_head"))
+        heads = heads.select("bucket", F.col("_head.v").alias("a"), F.col("_head.label").alias("la"), F.col("_head.n").alias("na"), F.col("_head.sketch").alias("sa"))
+        close = mismatches(F.col("sketch"), F.col("sa"), bands * rows) <= most_mismatches(bands * rows, threshold)
+        pairs = now.join(heads, "bucket").where((F.col("label") != F.col("la")) & (F.least("n", "na") >= threshold * F.greatest("n", "na")) & close)
+        pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         links = stage_table(verify(pairs, sets, threshold), "verified")
         named = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
         edges = links.join(named, F.col("a") == F.col("_v")).select("b", F.col("_l").alias("x")).join(named, F.col("b") == F.col("_v")).select(F.col("x").alias("a"), F.col("_l").alias("b")).where("a != b")
         merged = components(edges).withColumnsRenamed({"v": "_v", "label": "_l"})
         labels = stage_table(labels.join(merged, labels["label"] == merged["_v"], "left").select("v", F.coalesce("_l", "label").alias("label")), "labels")
-        members = stage_table(now.select("bucket", "v", "n").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti"), "members")
-        leaders *= 2
+        members = now.select("bucket", "v").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
+        leaders *= GROWTH
     classes = texts.join(labels, "v", "left").select("h1", "h2", "copies", "least", F.coalesce("label", "v").alias("label"))
     whole = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_in_class"))
     classes = stage_table(classes.join(whole, "label").select("h1", "h2", "class_id", "n_in_class", F.col("copies").alias("exact_copies")), "classes")

@@ -134,7 +134,7 @@ def mcd(rows: DataFrame, keys: list[str], d: int, steps: int = STEPS, share: flo
         estimate = stage_table(estimate.select(*names), "mcd-estimate")
         measured = rows.join(estimate, keys)
         measured = measured.withColumn("bin", F.floor(F.log2(_distance(measured, d) + 1e-3) * 16).cast("int")).select(*keys, *[f"x{i}" for i in range(d)], "bin")
-        limit = _half(measured, keys, share)
+        limit = stage_table(_half(measured, keys, share), "mcd-limit")  # a row for each group, as small as its file says
         estimate = _factor(_moments(measured.join(limit, keys), keys, d, F.col("bin") <= F.col("limit")), d)
     return stage_table(estimate.select(*names), "mcd-estimate")
 

@@ -18,6 +18,8 @@ import os
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -45,21 +47,44 @@ class WordIds:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters alone are one piece each, so many go through as one text that is cut at closing ids."""
+        plain = [w for w in words if w.isalpha() and max(w) <= "\xff"]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        other = [w for w in words if w not in self.known]
+        for at in range(0, len(other), 5000):
+            some = other[at : at + 5000]
+            for w, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(got.ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        stems = {w: w.rstrip(string.punctuation) for w in words}
-        stems = {w: s if s[-1:].isascii() and s[-1:].isalpha() and "|>" not in w else w for w, s in stems.items()}
-        new = list({x for w, s in stems.items() for x in (s, w[len(s) :]) if x and x not in self.known})
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for x, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(got.ids, "<u4").tobytes()
-        for w, s in stems.items():
-            if s != w:
-                self.known[w] = self.known[s] + self.known[w[len(s) :]]
+        cut, new = {}, set()
+        for w in words:
+            stem = w.rstrip(string.punctuation)
+            if stem != w and stem and stem[-1].isascii() and stem[-1].isalpha() and "|>" not in w:
+                cut[w] = stem
+                new.add(stem)
+                new.add(w[len(stem) :])
+            else:
+                new.add(w)
+        self._encode_words(list(new.difference(self.known)))
+        known = self.known
+        for w, stem in cut.items():
+            known[w] = known[stem] + known[w[len(stem) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        split, missing, find = [], set(), self.known.get
         for text in texts:
             text = text or ""
             for c in "\t\n\r":
@@ -70,12 +95,14 @@ class WordIds:
                     text = text.lower()  # as the vocabulary does; other scripts are left to it
             except UnicodeEncodeError:
                 pass
-            split.append(text.split(" "))
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        missing = set().union(*split).difference(self.known)
+            words = text.split(" ")
+            got = list(map(find, words))
+            new = set(compress(words, map(not_, got)))
+            new.discard("")
+            missing |= new
+            split.append((got, words if new else None))
         self._learn(missing)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        out = [b"".join(got if words is None else [g or self.known[w] for g, w in zip(got, words, strict=True)]) for got, words in split]
         for w in missing:
             if len(w) > 40:
                 del self.known[w]

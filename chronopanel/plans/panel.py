@@ -22,14 +22,15 @@ def assemble_features(t: Tables, spine: DataFrame) -> DataFrame:
     at most sizes and joined by sort and merge beyond them.
     """
     entities, events = t.entities(), t.events()
-    own = H.own_history(spine, events, LO, HI)
-    peers = H.peer_events(spine, events, LO, HI)
+    grid = H.entity_month_spine(entities, LO, HI)  # without the label's joins, which no feature needs
+    own = H.own_history(grid, events, LO, HI)
+    peers = H.peer_events(grid, events, LO, HI)
     owner = H.owner_event_rate(entities, events, LO, HI)
     group, own_share = H.market_structure(entities, LO, HI)
-    group_exits, owner_exits = H.exit_signals(t.exits(), spine, LO, HI)
-    cover = H.coverage_breadth(spine, t.coverage(), LO, HI)
+    group_exits, owner_exits = H.exit_signals(t.exits(), grid, LO, HI)
+    cover = H.coverage_breadth(grid, t.coverage(), LO, HI)
     types = H.static_type_flags(t.coverage(), "type", {"is_generic": "F", "is_brand": "O"})
-    foreign = H.token_bridge_signals(spine, t.entity_tokens(), t.foreign_events(), LO, HI)
+    foreign = H.token_bridge_signals(grid, t.entity_tokens(), t.foreign_events(), LO, HI)
     key = ["entity", "obs"]
     df = spine.join(own, key, "left").join(peers, key, "left").join(cover, key, "left").join(foreign, key, "left").join(types, "entity", "left")
     df = df.join(owner, ["owner", "obs"], "left").join(owner_exits, ["owner", "obs"], "left").join(group, ["grp", "obs"], "left").join(own_share, ["grp", "owner", "obs"], "left").join(group_exits, ["grp", "obs"], "left")
@@ -73,7 +74,7 @@ def short_panel(t: Tables) -> DataFrame:
     """What the ranking queries need: label, own counts and owner rate."""
     spine = labelled_spine(t)
     events = t.events()
-    counts = H.prior_event_counts(spine, events, LO, HI)
+    counts = H.prior_event_counts(H.entity_month_spine(t.entities(), LO, HI), events, LO, HI)
     owner = H.owner_event_rate(t.entities(), events, LO, HI).select("owner", "obs", "owner_rate_12m")
     return spine.join(counts, ["entity", "obs"], "left").join(owner, ["owner", "obs"], "left").fillna(0.0, ["owner_rate_12m"])
 

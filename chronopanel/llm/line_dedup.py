@@ -82,9 +82,10 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEA
 
 def earlier_partners(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
     """distinct (line_id, first, keys) -> (line_id, partner): the earliest line one edit away, if earlier than ``first``."""
-    each = distinct.select("line_id", F.explode("keys").alias("key"))
-    likely = each.join(_crowded(each), "key").select("line_id").distinct()
-    likely = distinct.join(likely, "line_id", "left_semi").select("line_id", "first")
+    # half of the id will do here: this only proposes lines, and these are the largest shuffles
+    each = distinct.select(F.col("line_id.a").alias("line_id"), F.explode("keys").alias("key"))
+    likely = each.join(_crowded(each), "key").select(F.col("line_id").alias("_a")).distinct()
+    likely = distinct.join(likely, F.col("line_id.a") == F.col("_a"), "left_semi").select("line_id", "first")
     # texts of these lines, from the document that has each first
     wanted = likely.groupBy(F.col("first.d").alias("_d"), F.col("first.k").alias("_k")).agg(F.collect_list(F.struct(F.col("first.p").alias("p"), "line_id", "first")).alias("_want"))
     text = F.coalesce("text", F.lit(""))

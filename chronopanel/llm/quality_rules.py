@@ -3,8 +3,9 @@
 All of it is DataFrame expressions. The statistics are transformed, fixed-point
 numbers, so sums are exact and reruns agree. For each (lang, source) the minimum
 covariance determinant is sought by concentration steps: mean and covariance of
-the half with the least Mahalanobis distances so far, distances anew, and so on;
-a row whose last distance is beyond the cut is rejected.
+the half with the least Mahalanobis distances so far, distances anew, and so on
+until no group's half changes; a row whose last distance is beyond the cut is
+rejected.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; percent of words in repeated windows
 #: Dimensions are stored as whole numbers of 1 / SCALE.
 SCALE = 1000
-#: Least standard deviation of each dimension: most texts have no symbol and no repeat at all.
-FLOORS = (0.05, 0.15, 0.25, 0.25)
+#: Least standard deviation of each dimension: most texts have no symbol and no repeat at all. Each is so small that
+#: its dimension can reject a row by itself: beside texts without any, a fifth of the words in repeated windows is too
+#: much, and so is a repeated line for each 24 words.
+FLOORS = (0.05, 0.15, 0.07, 0.1)
 #: Groups below this many rows are judged by the estimates of their language, and those in turn by all rows.
 MIN_GROUP = 60
-CUT = 64.0  # squared distance
-STEPS = 3
+#: Squared distance: the 0.999 quantile of chi-square with four degrees, times the consistency factor of the half's
+#: covariance, 0.5 / P(chi-square with six degrees <= the median of that with four).
+CUT = 18.467 * 2.109
+#: Concentration steps at most. Halves are whole bins of distance, so that a group may go back and forth between two.
+STEPS = 30
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,7 +86,7 @@ def _moments(rows: DataFrame, keys: list[str], d: int, kept: Column) -> DataFram
 
 
 def _factor(moments: DataFrame, d: int) -> DataFrame:
-    """Means and the Cholesky factor of the covariance, floors added to its diagonal; keeps the group keys."""
+    """Means and the Cholesky factor of the covariance, floors added to its diagonal; keeps the group keys and the sums."""
     n = F.col("m").cast("double")
     df = moments.withColumns({f"mu{i}": F.col(f"s{i}") / n for i in range(d)})
     for i in range(d):
@@ -91,7 +97,7 @@ def _factor(moments: DataFrame, d: int) -> DataFrame:
             for k in range(j):
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l{j}{j}"))
-    return df.drop(*[f"s{i}" for i in range(d)], *[f"p{i}{j}" for i in range(d) for j in range(i + 1)])
+    return df
 
 
 def _distance(rows: DataFrame, d: int) -> Column:
@@ -120,23 +126,28 @@ def _half(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def mcd(rows: DataFrame, keys: list[str], d: int, steps: int = STEPS, share: float = 0.5) -> DataFrame:
-    """Estimates (keys, mu*, l*, m) of each group of rows with dimensions x0..; keys hold no null.
+    """Estimates (keys, mu*, l*) of each group of rows with dimensions x0..; keys hold no null.
 
     The start is distances from the median of each dimension over the floors,
-    which a minority of outliers cannot move far.
+    which a minority of outliers cannot move far. Steps end when every group's
+    half has the exact sums of the one before, or after ``steps``.
     """
     values = rows.select(*keys, F.posexplode(F.array(*[f"x{i}" for i in range(d)])).alias("dim", "bin"))
     middle = _half(values, [*keys, "dim"], 0.5)
     start = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("dim") == i, F.col("limit"))).cast("double").alias(f"mu{i}") for i in range(d)])
     estimate = start.withColumns({f"l{i}{j}": F.lit(FLOORS[i] * SCALE if i == j else 0.0) for i in range(d) for j in range(i + 1)})
     names = [*keys, *[f"mu{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
+    sums = ["m", *[f"s{i}" for i in range(d)], *[f"p{i}{j}" for i in range(d) for j in range(i + 1)]]
+    estimate, last = stage_table(estimate.select(*names), "mcd-estimate"), None
     for _ in range(steps):
-        estimate = stage_table(estimate.select(*names), "mcd-estimate")
-        measured = rows.join(estimate, keys)
+        measured = rows.join(estimate.select(*names), keys)
         measured = measured.withColumn("bin", F.floor(F.log2(_distance(measured, d) + 1e-3) * 16).cast("int")).select(*keys, *[f"x{i}" for i in range(d)], "bin")
         limit = stage_table(_half(measured, keys, share), "mcd-limit")  # a row for each group, as small as its file says
-        estimate = _factor(_moments(measured.join(limit, keys), keys, d, F.col("bin") <= F.col("limit")), d)
-    return stage_table(estimate.select(*names), "mcd-estimate")
+        estimate = stage_table(_factor(_moments(measured.join(limit, keys), keys, d, F.col("bin") <= F.col("limit")), d), "mcd-estimate")
+        if last is not None and estimate.join(last, [*keys, *sums], "left_anti").isEmpty():
+            break
+        last = estimate.select(*keys, *sums)
+    return estimate.select(*names)
 
 
 def apply_rules(docs: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:

@@ -73,6 +73,39 @@ def test_rules_frame(spark):
     assert R.apply_rules(df.where("false")).count() == 0
 
 
+def test_repetitive_texts_are_outliers(spark):
+    """Of 20 to 45 percent of words in repeated windows, or of repeated lines, beside clean texts with the odd repeat."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    words = lambda n: [word() for _ in range(n)]
+    again = lambda n: words(2) + (x := words(n)) + words(90 - n) + x + words(108 - n)  # noqa: E731  n of 100 words repeat
+
+    def lines(n):  # of 24 lines of five words n come twice
+        own = [" ".join(words(5)) for _ in range(24 - n)]
+        return "\n".join(own + own[:n])
+
+    clean = [(i, " ".join(again(rng.choice([0, 0, 0, 0, 3, 6])) if i % 2 else words(120)), "en", "s") for i in range(150)]
+    repeats = [(1000 + n, " ".join(again(n)), "en", "s") for n in range(22, 46, 3)]
+    doubled = [(2000 + n, lines(n), "en", "s") for n in (3, 4, 5)]
+    got = R.apply_rules(spark.createDataFrame([(*r, "clash") for r in clean + repeats + doubled], SCHEMA)).collect()
+    share = {r.doc_id: r.n_repeat_words / r.n_words for r in got}
+    assert all(0.2 <= share[r[0]] <= 0.5 for r in repeats) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in clean}
+
+
+def test_each_dimension_can_reject():
+    """A text that the base rule keeps can lie beyond the cut by its repeats alone, or by its lines alone."""
+    assert (R.MAX_REPEAT / 100) / R.FLOORS[2] ** 2 > R.CUT and np.log1p(20 * 0.1) ** 2 / R.FLOORS[3] ** 2 > R.CUT
+
+
+def test_steps_end_when_halves_stay(spark):
+    rng = np.random.default_rng(18)
+    points = np.concatenate([rng.normal(0, 400, (300, 4)), rng.normal(900, 400, (200, 4))]).round().astype(int)
+    rows = spark.createDataFrame([("g", *map(int, v)) for v in points], "g string, x0 long, x1 long, x2 long, x3 long")
+    ends = [tuple(R.mcd(rows, ["g"], 4, *steps).first()) for steps in ((), (R.STEPS + 1,), (3,))]
+    assert ends[0] == ends[1] != ends[2]
+
+
 def test_rules_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s", "")], SCHEMA)
     plan = R.apply_rules(df)._jdf.queryExecution().toString()

@@ -271,9 +271,11 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, class_id, n_in_class, exact_copies, h1, h2: one row for each row of docs.
+    """docs (doc_id, text) -> doc_id, class_id, class_h1, class_h2, n_in_class, exact_copies, h1, h2: one row for each row of docs.
 
-    class_id is the least doc_id of the class. Null texts count as empty; texts
+    class_h1 and class_h2, the text hashes of one member, tell classes apart.
+    class_id is the least doc_id of the class; unlike texts under one repeated
+    or null doc_id are classes of their own with that class_id in common. Null texts count as empty; texts
     without a word are a class with their exact copies alone. Rows that repeat
     are exact copies. Null doc_ids count as the largest.
     """
@@ -314,5 +316,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         leaders *= GROWTH
     classes = texts.join(labels, "v", "left").select("h1", "h2", "copies", "least", F.coalesce("label", "v").alias("label"))
     whole = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_in_class"))
-    classes = stage_table(classes.join(whole, "label").select("h1", "h2", "class_id", "n_in_class", F.col("copies").alias("exact_copies")), "classes")
+    classes = stage_table(classes.join(whole, "label").select("h1", "h2", "class_id", F.col("label.h1").alias("class_h1"), F.col("label.h2").alias("class_h2"), "n_in_class", F.col("copies").alias("exact_copies")), "classes")
     return rows_.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])

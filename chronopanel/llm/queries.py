@@ -85,7 +85,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "class_id", "n_in_class", "exact_copies")
+    return got.select("doc_id", "class_id", "class_h1", "class_h2", "n_in_class", "exact_copies")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_line_dedup, op4_packing, op5_mixing, op6_quality_model, op7_token_counts, op8_quality_rules, op9_media, op10_near_dup)}

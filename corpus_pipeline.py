@@ -21,10 +21,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least doc_id; rows that repeat become one."""
+    """Of each class of near duplicates the document of the least doc_id, then the least hashes; rows that repeat become one."""
     classes = stage_table(near_dup.near_duplicates(docs), "classes")
-    lead = classes.where(F.col("doc_id").eqNullSafe(F.nullif("class_id", F.lit(near_dup.NO_ID)))).groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("_h"))
-    lead = lead.select(F.col("class_id").alias("_id"), F.col("_h.h1").alias("_h1"), F.col("_h.h2").alias("_h2"))
+    # class_id alone is no key: unlike texts under one repeated or null doc_id are classes of their own
+    lead = classes.where(F.col("doc_id").eqNullSafe(F.nullif("class_id", F.lit(near_dup.NO_ID)))).groupBy("class_h1", "class_h2").agg(F.min(F.struct("class_id", "h1", "h2")).alias("_h"))
+    lead = lead.select(F.col("_h.class_id").alias("_id"), F.col("_h.h1").alias("_h1"), F.col("_h.h2").alias("_h2"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dup.NO_ID)), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit("second"), text)})
     kept = keyed.join(lead, (F.col("_i") == F.col("_id")) & (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left_semi")

@@ -29,6 +29,16 @@ def test_columns_and_filters(stages):
     assert sorted(r.doc_id for r in stages["near_dup"].collect()) == sorted(r.class_id for r in classes.select("class_id").distinct().collect())
 
 
+def test_near_stage_keeps_unlike_texts_of_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, "one text alone"), (None, "quite another text"), (None, "a third one"), (None, "a third one"), (7, "under seven"), (7, "also under seven"), (7, "also under seven"), (8, base), (None, base + " more"), (7, base + " other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(P.near_stage(spark, docs, D).collect(), key=str)
+    assert kept == sorted(spark.createDataFrame([*rows[:3], rows[4], rows[5], rows[9]], docs.schema).collect(), key=str)
+    classes = near_dup.near_duplicates(docs).select("class_h1", "class_h2", "n_in_class").distinct().collect()
+    assert sorted(r.n_in_class for r in classes) == [1, 1, 1, 2, 2, 3]
+
+
 def test_mix_and_packing(stages):
     count = lambda df: df.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     total = count(stages["near_dup"])

@@ -9,10 +9,13 @@ Signatures are banded, candidates' multiset overlap is verified exactly, and
 verified links are joined to classes.
 
 Exact copies are one vertex from the start. A bucket is never turned into all
-its pairs: in each round its members are compared with a few leaders, members
-already in the leader's class are spared, leaders leave, and rounds go on until
-a bucket's members are of one class or have all been leaders, so no pair of
-a bucket that could still join two classes goes without a check.
+its pairs. First each member is compared with one leader, the member that shares
+most buckets, which joins most of a large group to one class. Pairs of a bucket
+that are left in different classes then need a second reason to be compared: two
+multisets that overlap enough must share one of their rarest shingles, each within
+a prefix whose length follows from both sizes. Shingles that only one text has fill
+such prefixes first, so unlike members of a large group meet no longer. The prefix
+rule is exact: no pair at or above the threshold that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .common import stage_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Each round has so many times the leaders of the last in a bucket.
-GROWTH = 32
+#: Ratio of sizes within one band of the prefix join.
+SIZE_STEP = 1.03
 #: What a null doc_id counts as.
 NO_ID = 2**63 - 1
 #: Words hashed at a time, at least one document.
@@ -160,28 +163,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def sketch(registers: np.ndarray) -> np.ndarray:
-    """A byte of each register, eight to a long, filled up with zeros."""
-    low = (registers & np.uint64(0xFF)).astype(np.uint8)
-    return np.pad(low, ((0, 0), (0, -low.shape[1] % 8))).view("<i8")
-
-
-def mismatches(a: Column, b: Column, m: int) -> Column:
-    """Of two sketches, how many of the m registers differ: the bits of each byte of a xor b are folded into its lowest."""
-    total = F.lit(0)
-    for i in range(-(-m // 8)):
-        x = F.get(a, i).bitwiseXOR(F.get(b, i))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
-
-
-def most_mismatches(m: int, threshold: float) -> int:
-    """Registers of a pair at the threshold differ by more than this with a chance of about 1e-8 (5.6 deviations)."""
-    return min(m, int(m * (1 - threshold) + 5.6 * (m * threshold * (1 - threshold)) ** 0.5) + 1)
-
-
 def occurrences(hashes: np.ndarray) -> np.ndarray:
     """A multiset as a set: the k-th of equal shingles gets a hash of its own, so that set overlap is multiset overlap."""
     if not len(hashes):
@@ -211,7 +192,7 @@ def with_hashes(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, h1, h2 (of the text), n (shingles), bands, sketch."""
+    """docs (doc_id, text) -> doc_id, h1, h2 (of the text), n (shingles), bands."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -222,10 +203,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 hashes, sizes = shingles(some, width)
                 registers = bag_minhash(*weighted(hashes, sizes), len(some), bands * rows)
                 keys = band_keys(registers, bands, rows).view(np.int64)
-                yield pd.DataFrame({"doc_id": own["doc_id"], "h1": own["h1"], "h2": own["h2"], "n": sizes, "bands": list(keys), "sketch": list(sketch(registers))})
+                yield pd.DataFrame({"doc_id": own["doc_id"], "h1": own["h1"], "h2": own["h2"], "n": sizes, "bands": list(keys)})
 
     given = with_hashes(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return given.mapInPandas(run, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch array<long>").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return given.mapInPandas(run, "doc_id long, h1 long, h2 long, n long, bands array<long>").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -270,6 +251,59 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(common >= threshold * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
+def leader_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """members (v, bucket, n, shared) -> (bucket, a, v, near): every member but the leader beside its bucket's leader a.
+
+    The leader is the member with most co-members over all its buckets, so that the
+    buckets of a large group have few leaders in all. ``near`` says whether the sizes allow the threshold.
+    """
+    central = members.groupBy("v").agg(F.sum("shared").alias("score"))
+    heads = members.join(central, "v").groupBy("bucket").agg(F.max(F.struct("score", "v", "n")).alias("_h"))
+    heads = heads.select("bucket", F.col("_h.v").alias("a"), F.col("_h.n").alias("_na"))
+    near = F.least("n", "_na") >= threshold * F.greatest("n", "_na")
+    return members.join(heads, "bucket").where("a != v").select("bucket", "a", "v", near.alias("near"))
+
+
+def _least_overlap(x: Column, y: Column, threshold: float) -> Column:
+    """Overlap that multisets of x and y shingles need for the threshold."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (x + y) - 1e-9)
+
+
+def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """left (v, label) and sets (v, items) -> pairs (a, b) of different labels that can reach the threshold.
+
+    Shingles are ordered by the number of texts in ``left`` that have them. If the
+    overlap of two texts must be o, they share a shingle that is among the first
+    n - o + 1 of both. Sizes come in bands, so the larger text names the bands of
+    partners that it may have and the prefix that goes with each. Shingles of one text alone take
+    places but give no rows.
+    """
+    each = stage_table(left.join(sets, "v").select("v", "label", F.size("items").alias("n"), F.explode("items").alias("item")), "left-shingles")
+    common = each.groupBy("item").agg(F.count("*").alias("_f")).where("_f > 1")
+    rare = each.join(common, "item").groupBy("v", "label", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "item"))).alias("known"))
+    n = F.col("n")
+    alone = n - F.size("known")  # these come first
+    longest = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
+    rare = rare.withColumn("known", F.transform(F.slice("known", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int")), lambda x, i: F.struct(x["item"].alias("item"), (alone + i).alias("pos"))))
+    band = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
+    least = F.ceil(F.lit(threshold) * n - 1e-9)
+    # as the smaller text in its own band, and as the larger one in each band that a partner may be of
+    lowest = lambda b: F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), b)) - 1)
+    small = F.array(F.struct(band(n).alias("band"), F.lit(False).alias("large"), (n - _least_overlap(n, n, threshold)).alias("last")))
+    large = F.transform(F.sequence(band(F.greatest(least, F.lit(1))), band(n)), lambda b: F.struct(b.alias("band"), F.lit(True).alias("large"), (n - _least_overlap(n, lowest(b), threshold)).alias("last")))
+    rows = rare.where(F.size("known") > 0).select("v", "label", "n", "known", F.explode(F.concat(small, large)).alias("r")).select("v", "label", "n", "r.*", F.explode("known").alias("k"))
+    rows = stage_table(rows.where("k.pos <= last").select("v", "label", "n", "band", "large", "k.item", "k.pos"), "prefixes")
+    met = rows.groupBy("item", "band").agg(F.min("label").alias("_p"), F.max("label").alias("_q"), F.bool_or("large").alias("_l"), F.bool_or(~F.col("large")).alias("_s")).where("_p != _q and _l and _s")
+    rows = stage_table(rows.join(met.select("item", "band"), ["item", "band"]), "shared-prefixes")
+    side = lambda large, p: rows.where(F.col("large") == large).select("item", "band", *[F.col(c).alias(f"{p}_{c}") for c in ("v", "label", "n", "pos")])
+    need = _least_overlap(F.col("a_n"), F.col("b_n"), threshold)
+    on = (F.col("a_label") != F.col("b_label")) & (F.col("a_n") <= F.col("b_n")) & (F.col("a_n") >= threshold * F.col("b_n") - 1e-9)
+    on = on & (F.col("a_pos") + need <= F.col("a_n")) & (F.col("b_pos") + need <= F.col("b_n"))
+    small_, large_ = side(False, "a"), side(True, "b").withColumnsRenamed({"item": "_item", "band": "_band"})
+    pairs = small_.join(large_, (F.col("item") == F.col("_item")) & (F.col("band") == F.col("_band")) & on)
+    return pairs.select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id, class_h1, class_h2, n_in_class, exact_copies, h1, h2: one row for each row of docs.
 
@@ -277,44 +311,48 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     class_id is the least doc_id of the class; unlike texts under one repeated
     or null doc_id are classes of their own with that class_id in common. Null texts count as empty; texts
     without a word are a class with their exact copies alone. Rows that repeat
-    are exact copies. Null doc_ids count as the largest.
+    are exact copies. Null doc_ids count as the largest. Other columns are
+    ignored, and no rows give no rows.
     """
     rows_ = stage_table(signatures(docs, bands, rows, width), "signatures")
     key = F.coalesce("doc_id", F.lit(NO_ID))
-    texts = rows_.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = rows_.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     texts = stage_table(texts.withColumn("v", F.struct("h1", "h2")), "texts")
-    spread_ = texts.where("n > 0").select("v", F.explode("bands").alias("bucket"))
-    shared = spread_.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1").select("bucket")
+    spread_ = texts.where("n > 0").select("v", "n", F.explode("bands").alias("bucket"))
+    shared = spread_.groupBy("bucket").agg((F.count("*") - 1).alias("shared")).where("shared > 0")
     members = stage_table(spread_.join(shared, "bucket"), "members")
     # the texts of candidates alone, each from the row of its least doc_id: a third of the rows may be copies of one
     mine = texts.join(members.select("v").distinct(), "v", "left_semi").select("h1", "h2", F.col("least").alias("_id"))
     bodies = with_hashes(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     wanted = bodies.join(mine, ["_id", "h1", "h2"], "left_semi").dropDuplicates(["_id", "h1", "h2"])
     sets = stage_table(shingle_sets(wanted, width).select(F.struct("h1", "h2").alias("v"), "items"), "shingle-sets")
-    labels = stage_table(members.select("v").distinct().withColumn("label", F.col("v")), "labels")
-    about = stage_table(texts.select("v", "n", "sketch").join(labels.select("v"), "v", "left_semi"), "sketches")
-    leaders = 1
-    while True:
-        now = members.join(labels, "v")
-        split = now.groupBy("bucket").agg(F.min("label").alias("_p"), F.max("label").alias("_q")).where("_p != _q").select("bucket")
-        now = now.join(split, "bucket").join(about, "v").withColumn("_salt", F.pmod(F.col("v.h2"), F.lit(leaders)))
-        now = stage_table(now, "unresolved")
-        if now.isEmpty():
-            break
-        heads = now.groupBy("bucket", "_salt").agg(F.min(F.struct("v", "label", "n", "sketch")).alias("_head"))
-        heads = heads.select("bucket", F.col("_head.v").alias("a"), F.col("_head.label").alias("la"), F.col("_head.n").alias("na"), F.col("_head.sketch").alias("sa"))
-        close = mismatches(F.col("sketch"), F.col("sa"), bands * rows) <= most_mismatches(bands * rows, threshold)
-        pairs = now.join(heads, "bucket").where((F.col("label") != F.col("la")) & (F.least("n", "na") >= threshold * F.greatest("n", "na")) & close)
-        pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        links = stage_table(verify(pairs, sets, threshold), "verified")
-        if not links.isEmpty():
-            named = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
-            edges = links.join(named, F.col("a") == F.col("_v")).select("b", F.col("_l").alias("x")).join(named, F.col("b") == F.col("_v")).select(F.col("x").alias("a"), F.col("_l").alias("b")).where("a != b")
-            merged = components(edges).withColumnsRenamed({"v": "_v", "label": "_l"})
-            labels = stage_table(labels.join(merged, labels["label"] == merged["_v"], "left").select("v", F.coalesce("_l", "label").alias("label")), "labels")
-        members = now.select("bucket", "v").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
-        leaders *= GROWTH
+    led = stage_table(leader_pairs(members, threshold), "leaders")
+    pairs = led.where("near").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+    links = stage_table(verify(pairs, sets, threshold), "verified")
+    labels = stage_table(components(links), "labels")
+    # what no leader has joined: members of different classes in one bucket
+    now = led.join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+    split = now.groupBy("bucket").agg(F.min("label").alias("_p"), F.max("label").alias("_q")).where("_p != _q").select("bucket")
+    left = stage_table(now.join(split, "bucket").select("v", "label").distinct(), "unresolved")
+    more = stage_table(verify(prefix_pairs(left, sets, threshold), sets, threshold), "verified")
+    if not more.isEmpty():
+        links = stage_table(links.unionByName(more), "links")
+        labels = components(links)
     classes = texts.join(labels, "v", "left").select("h1", "h2", "copies", "least", F.coalesce("label", "v").alias("label"))
     whole = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_in_class"))
     classes = stage_table(classes.join(whole, "label").select("h1", "h2", "class_id", F.col("label.h1").alias("class_h1"), F.col("label.h2").alias("class_h2"), "n_in_class", F.col("copies").alias("exact_copies")), "classes")
     return rows_.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """Of each class of near duplicates the row of the least doc_id, then of the least text hashes, all its columns as given.
+
+    Rows that repeat in doc_id and text become one. Classes are told apart by
+    their hashes: unlike texts under one repeated or null doc_id all stay.
+    """
+    classes = stage_table(near_duplicates(docs, **settings), "classes")
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    lead = classes.groupBy("class_h1", "class_h2").agg(F.min(F.struct(key.alias("i"), "h1", "h2")).alias("h"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")).alias("h"))
+    return keyed.join(lead.select("h"), "h", "left_semi").dropDuplicates(["h"]).select("row.*")

@@ -70,3 +70,20 @@ def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value:
 def spread(*cols: Column) -> Column:
     """A uniform non-negative long below 2**62 from a hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 2)
+
+
+def running_over(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, for each name, the sum of its column over the rows up to and with this one, in an order of all rows.
+
+    The rows are sorted by range over many tasks; only one sum for each of them
+    meets in one place. Give an order without ties.
+    """
+    values = {f"_v_{n}": c for n, c in sums.items()}
+    rows = df.withColumns(values).orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    rows = stage_table(rows, "in-order")
+    parts = rows.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values])  # one row for each task of the sort
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_base") for v in values])
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums}).join(parts, F.col("_p") == F.col("_q"))
+    return rows.withColumns({n: F.col(n) + F.col(f"_v_{n}_base") for n in sums}).drop("_p", "_q", "_i", *values, *[f"{v}_base" for v in values])

@@ -52,7 +52,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,15 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 t AS (SELECT *, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS INT)]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM s),
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
 x AS (SELECT *, CASE WHEN level * weight >= cap THEN cap ELSE weight * max(level) FILTER (WHERE level * weight < cap) OVER () END AS target FROM v),
-l AS (SELECT d.doc_id, d.size, x.source_size, x.target, CAST(floor(x.target + 1e-6) AS BIGINT) AS words, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.k ROWS UNBOUNDED PRECEDING) - d.size AS pos FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(pos + source_size + size, words) - pos - source_size) + greatest(0, least(pos + 2 * source_size + size, words) - pos - 2 * source_size) AS BIGINT) AS taken FROM l""",
+w AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS words, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS id FROM x),
+n AS (SELECT CAST(sum(words) AS BIGINT) AS total, sum(target) AS target_sum, greatest(1, least(8192, CAST(sum(words) AS BIGINT) // 16384)) AS block FROM w),
+y AS (SELECT w.*, n.block, (sum(target) OVER (ORDER BY id) - target) / target_sum AS lo, sum(target) OVER (ORDER BY id) / target_sum AS hi FROM w, n),
+points AS (SELECT t, ((t + 1) * 0.6180339887498949) % 1.0::DOUBLE AS u FROM (SELECT unnest(range((SELECT CAST(ceil(total / block) AS BIGINT) + 64 FROM n))) AS t)),
+slots AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS rank FROM points JOIN y ON u >= lo AND u < hi),
+blocks AS (SELECT r.id, r.rank, coalesce(slots.t, (SELECT CAST(ceil(total / block) AS BIGINT) + 64 FROM n) + r.rank) AS slot, r.rank * block AS b_from, least((r.rank + 1) * block, words) AS b_to
+  FROM (SELECT id, words, block, unnest(range(CAST(ceil(words / block) AS BIGINT))) AS rank FROM y) r LEFT JOIN slots ON slots.id = r.id AND slots.rank = r.rank),
+l AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, y.source_size, y.target, y.words, y.id, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.k ROWS UNBOUNDED PRECEDING) - d.size AS pos FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source),
+c AS (SELECT row, id, pos + k * source_size AS d_from, least(pos + k * source_size + size, words) AS d_to FROM l, (VALUES (0), (1), (2)) e(k) WHERE size > 0 AND pos + k * source_size < words),
+o AS (SELECT row, CAST(sum(least(d_to, b_to) - greatest(d_from, b_from)) AS BIGINT) AS taken, CAST(min(CASE WHEN b_from <= d_from THEN slot END) AS BIGINT) AS first_slot FROM c JOIN blocks ON c.id = blocks.id AND b_from < d_to AND b_to > d_from GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM l LEFT JOIN o USING (row)""",
 }

@@ -67,6 +67,44 @@ def test_slots_follow_the_schedule(spark):
         assert [x[1] for x in own] == list(range(len(own))) and abs(len(own) - share) <= 4
 
 
+def order(rows):
+    """(slot, source, words) of every place in the mix, in order."""
+    return sorted((p.slot, r.source, p.words) for r in rows for p in r.places or [])
+
+
+def test_prefixes_hold_each_share_and_points_decide(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 60))), rng.choice("aaaabbc")) for i in range(2000)]
+    got = M.mix(make(spark, rows), 64).collect()
+    places, targets = order(got), {r.source: r.target for r in got}
+    total, seen, done = sum(targets.values()), dict.fromkeys(targets, 0), 0
+    for _, source, words in places:
+        seen[source] += words
+        done += words
+        for s, t in targets.items():  # a copy stands at its first slot with all its words, up to 60 here
+            assert abs(seen[s] - done * t / total) <= 4 * 64
+    monkeypatch.setattr(M, "PHI", 0.123)
+    assert [x[1] for x in order(M.mix(make(spark, rows), 64).collect())] != [x[1] for x in places]
+
+
+def test_the_mix_comes_in_order_and_rows_of_other_columns_stay_apart(spark):
+    rows = [(1, "a b c d", "x", "en", 7), (1, "a b c d", "x", "de", 7), (2, "e f", "y", "en", 7), (None, "g h i", None, None, 7), (None, None, "x", None, None), (3, "", "x", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, key long")
+    mixed = M.mix(df)
+    out = M.apply_mix(df, mixed).collect()
+    assert {r.lang for r in out if r.doc_id == 1} == {"en", "de"} and sum(len(r.text.split()) for r in out) == sum(r.taken for r in mixed.collect())
+    assert M.apply_mix(df.where("false"), M.mix(df.where("false"))).columns == df.columns
+    many = make(spark, [(i, "w " * 20 + str(i), "ab"[i % 2]) for i in range(400)])
+    mixed = M.mix(many)
+    slot = {r.doc_id: [p.slot for p in r.places or []] for r in mixed.collect()}
+    out = [r.doc_id for r in M.apply_mix(many, mixed).collect()]
+    best, last = 0, -1
+    for doc in out:  # rows come by slot
+        last = min(x for x in slot[doc] if x >= last)
+        best += 1
+    assert best == sum(map(len, slot.values()))
+
+
 def test_apply(spark):
     rows = [(i, f"a{i}  b\nc d", s) for i, s in enumerate("xxxxyyz")] + [(3, "a3  b\nc d", "x")]
     df = make(spark, rows)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_own_scratch: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local session
-    (tests, notebooks) gets a temporary folder of its own; a cluster session
+    ``spark.checkpoint.dir`` names it. Where that is unset, as in tests, a
+    session on one machine uses a folder of its warehouse; a cluster session
     raises, as no folder of one machine would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,10 +25,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_scratch[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages-{spark.sparkContext.applicationId}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +39,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no given column has them all."""
+    taken, lead = {c.lower() for c in columns}, "_"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def words_of(text: Column) -> Column:
     """Array of words of a text; null and blank texts give an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
@@ -87,3 +90,10 @@ def running_over(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums}).join(parts, F.col("_p") == F.col("_q"))
     return rows.withColumns({n: F.col(n) + F.col(f"_v_{n}_base") for n in sums}).drop("_p", "_q", "_i", *values, *[f"{v}_base" for v in values])
+
+
+def with_text_ids(df: DataFrame, run: Callable, id_col: str, rest: str) -> DataFrame:
+    """mapInPandas whose first column, the id, goes through as text: pandas would turn whole numbers beside a null into doubles."""
+    kind = df.schema[id_col].dataType
+    out = df.withColumn(id_col, F.col(f"`{id_col}`").cast("string")).mapInPandas(run, f"`{id_col}` string, {rest}")
+    return out.withColumn(id_col, F.col(f"`{id_col}`").cast(kind))

@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import with_text_ids
+
 WIDE = 64
 MAX_ROWS = 8191  # of blocks: 65,528 pixels, the format's limit being 65,535
 #: Bytes of payload that are encoded or decoded at a time.
@@ -313,7 +315,7 @@ def pad(text: str | None) -> bytes:
 def add_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): the UTF-8 of each text, filled with bytes 0 up to a multiple of 64, as JPEG.
 
-    A null or empty text fills one row of blocks. Equal texts give equal media.
+    A null or empty text fills one row of blocks. Equal texts give equal media. A null id is kept; other columns are ignored.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,7 +326,7 @@ def add_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pd.DataFrame({id_col: part[id_col].iloc[done : done + len(some)], "n_bytes": sizes[done : done + len(some)], "media": store(some)})
                 done += len(some)
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return with_text_ids(docs.select(id_col, text_col), run, id_col, "n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -347,4 +349,4 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 done += len(some)
                 yield got
 
-    return media.select(id_col, "n_bytes", "media").mapInPandas(run, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes long, {FEATURES}")
+    return with_text_ids(media.select(id_col, "n_bytes", "media"), run, id_col, f"n_bytes long, {FEATURES}")

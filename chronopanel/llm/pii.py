@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import with_text_ids
+
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -94,14 +96,14 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, spans) for every row; a null or empty text has no spans. Rows are independent, repeated ones give equal rows."""
+    """(id, spans) for every row; a null or empty text has no spans. Rows are independent, repeated ones give equal rows; a null id is kept, other columns are ignored."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans(t, threshold)] if t else [] for t in part[text_col]]
             yield pd.DataFrame({id_col: part[id_col], "spans": found})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}")
+    return with_text_ids(docs.select(id_col, text_col), run, id_col, f"spans {SPANS}")
 
 
 def redact(text: str | None, found: list[tuple[str, int, int, float]]) -> str | None:
@@ -114,5 +116,3 @@ def redact(text: str | None, found: list[tuple[str, int, int, float]]) -> str |
             out += [text[at:start], f"<{kind}>"]
         at = max(at, end)
     return "".join([*out, text[at:]])
-
-

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import with_text_ids
+
 RULES = ("start", "majority", "split")
 _loaded: dict[str, tuple] = {}
 
@@ -71,7 +73,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majority
 
     The fields are joined without a separator and encoded as one text; sections
     are the lines of each field. Null fields are empty; an empty text has one
-    empty section and no tokens. Rows are independent and may repeat.
+    empty section and no tokens. Rows are independent and may repeat; a null id is
+    kept, other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -95,4 +98,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majority
             yield pd.DataFrame({id_col: part[id_col], "n_tokens": n_tokens, "n_crossing": n_cross, "field_tokens": by_field, "sections": sections})
 
     chosen = docs.select(id_col, *[docs[f].alias(f"_f{i}") for i, f in enumerate(fields)])
-    return chosen.mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_crossing long, field_tokens array<double>, sections array<struct<field:int,section:int,bytes:long,tokens:double>>")
+    return with_text_ids(chosen, run, id_col, "n_tokens long, n_crossing long, field_tokens array<double>, sections array<struct<field:int,section:int,bytes:long,tokens:double>>")

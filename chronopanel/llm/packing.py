@@ -5,10 +5,15 @@ placing them. On the driver: only the histogram, of at most ``capacity`` rows at
 any size of the input, and the plan made from it. The LP (cover every length's
 count with configurations, that is multisets of lengths that fit a sequence, by
 as few of them as can be) is solved by multiplicative weights: lengths carry
-prices, a knapsack dynamic program finds the configuration of the highest price,
-its share of the cover lowers the prices of what it holds. Shares are rounded
-down to whole sequences and what is left over goes best-fit, longest first, into
-the gaps and into new sequences, as counts of equal bins.
+prices, a knapsack dynamic program over all open lengths finds the configurations of the
+highest price, and what they cover of a length lowers its price. Prices over the
+best configuration's price are a dual solution, whose value bounds the number
+of sequences from below. Shares are rounded down to whole sequences and what is
+left over goes best-fit, longest first, into the gaps and into new sequences, as counts of equal bins.
+If the plan is not within ``gap`` of the bound then, configurations and prices are
+weighed against each other over all configurations so far (``balance``), and the
+prices found ask the dynamic program for more of them, until it has none to add.
+The best plan is taken, and best-fit alone is one of them, so none is worse than that.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, spread, stage_table
+from .common import running, spread, stage_table, with_text_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -128,7 +133,7 @@ def _encoded(words: WordIds, texts: list[str | None]) -> Iterator[bytes]:
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only beyond ``capacity``.
 
-    A null or empty text is the end id alone. Rows that repeat are separate documents.
+    A null or empty text is the end id alone. Rows that repeat are separate documents. A null id is kept.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -143,53 +148,111 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"]).astype({id_col: part[id_col].dtype})
+            yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"])
+
+    return with_text_ids(docs.select(id_col, text_col), run, id_col, PIECES)
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the highest total price that fits, lengths as often as they fit, and the length to take first (0: none)."""
+    dense = np.full(capacity + 1, -np.inf)
+    dense[lengths] = prices
+    best, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    least, few = int(lengths.min(initial=capacity + 1)), len(lengths) < capacity // 8
+    down = lengths[::-1]  # of equal values the longest length is taken
+    value = prices[::-1]
+    for room in range(least, capacity + 1):
+        if few:
+            at = len(down) - int(np.searchsorted(lengths, room, "right"))
+            total = value[at:] + best[room - down[at:]]
+            j = int(total.argmax())
+            top, size = total[j], int(down[at + j])
+        else:
+            total = dense[room:0:-1] + best[:room]
+            j = int(total.argmax())
+            top, size = total[j], room - j
+        if top > best[room - 1] + 1e-12:
+            best[room], first[room] = top, size
+        else:
+            best[room] = best[room - 1]
+    return best, first
+
+
+def _take(first: np.ndarray, room: int) -> list[int]:
+    out = []
+    while room > 0:
+        if first[room]:
+            out.append(int(first[room]))
+            room -= int(first[room])
+        else:
+            room -= 1
+    return out
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {PIECES}")
 
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int, rate: float = 2.0, step: float = 0.5, slack: float = 0.02) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray, float]:
+    """Configurations (lengths, longest first) and how many whole sequences of each; what they leave; the dual bound of the first prices.
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Indices (each at most once) of the highest total price that fit, by dynamic programming over the capacity."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(lengths), capacity + 1), bool)
-    for i, (size, price) in enumerate(zip(lengths.tolist(), prices.tolist(), strict=True)):
-        more = best[: capacity + 1 - size] + price
-        better = more > best[size:]
-        took[i, size:] = better
-        best[size:] = np.where(better, more, best[size:])
-    at, out = capacity, []
-    for i in range(len(lengths) - 1, -1, -1):
-        if took[i, at]:
-            out.append(i)
-            at -= int(lengths[i])
-    return np.array(out[::-1], np.int64)
+    A round prices all open lengths with one dynamic program. Beside the best
+    configuration it yields the best one that holds each length; all within
+    ``slack`` of the best are used, each for ``step`` of its scarcest length. A round
+    that can't use any closes the lengths it asked too much of, so rounds end by themselves.
+    """
+    need, left = counts.astype(np.float64), counts.copy()
+    at = np.full(capacity + 1, -1)
+    at[lengths] = np.arange(len(lengths))
+    prices, open_ = prices.astype(np.float64).copy(), counts > 0
+    used: dict[tuple[int, ...], int] = {}
+    bound = 0.0
+    while open_.any():
+        own = np.flatnonzero(open_)
+        best, first = knapsack(lengths[own], prices[own], capacity)
+        if not bound:
+            bound = float((need * prices).sum() / best[capacity]) * (1 - 1e-6)  # rounding stays below the bound
+        value = prices[own] + best[capacity - lengths[own]]
+        order = own[np.lexsort((-lengths[own], -value))][: int((value >= (1 - slack) * best[capacity]).sum())]
+        progress, short = False, set()
+        for i in order.tolist():
+            if left[i] < 1:
+                continue
+            chosen = tuple(sorted([int(lengths[i]), *_take(first, capacity - int(lengths[i]))], reverse=True))
+            kinds, times = np.unique(at[list(chosen)], return_counts=True)
+            most = int((left[kinds] // times).min())
+            if not most:
+                short.update(kinds[left[kinds] < times].tolist())
+                continue
+            n = most if most < 4 else int(most * step)
+            used[chosen] = used.get(chosen, 0) + n
+            left[kinds] -= n * times
+            prices[kinds] *= np.exp(-rate * n * times / need[kinds])
+            progress = True
+        open_ &= left > 0
+        if not progress:
+            open_[list(short)] = False
+    return list(used.items()), left, bound
 
 
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 2.0, step: float = 0.5, width: int = 224, rounds: int = 3000, seed: int = 5) -> list[tuple[np.ndarray, float]]:
-    """Configurations (indices of lengths, each once) and their fractional numbers.
+def balance(cover: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of configurations and weights of lengths in the game ``cover`` (lengths, configurations): what a configuration covers of a length's count.
 
-    Each round prices at most ``width`` of the lengths that aren't yet covered,
-    twice each if there are few, picked by chance from a fixed seed.
+    Both sides move by multiplicative weights, each against the other's last
+    two moves, and the averages are returned. Steps fit the size of the entries, so that
+    a game goes on in ``rounds`` more with half the error.
     """
-    rng = np.random.default_rng(seed)
-    need = counts.astype(np.float64)
-    left = need.copy()
-    prices = lengths / capacity
-    out: list[tuple[np.ndarray, float]] = []
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        pick = open_ if len(open_) <= width else np.sort(rng.choice(open_, width, replace=False))
-        copies = np.repeat(pick, np.minimum(max(1, width // (2 * len(pick))), np.maximum(1, left[pick].astype(np.int64))))
-        chosen = copies[knapsack(lengths[copies], prices[copies], capacity)]
-        kinds, times = np.unique(chosen, return_counts=True)
-        share = float((left[kinds] / times).min())
-        share = share if share < 4 else share * step
-        out.append((chosen, share))
-        left[kinds] -= share * times
-        prices[kinds] *= np.exp(-rate * share * times / need[kinds])
-    return out
+    m, k = cover.shape
+    scale = cover.max(0).mean()
+    log_x, log_y, sum_x, sum_y = np.zeros(k), np.zeros(m), np.zeros(k), np.zeros(m)
+    old_x, old_y = np.zeros(k), np.zeros(m)
+    for t in range(rounds):
+        x, y = np.exp(log_x - log_x.max()), np.exp(log_y - log_y.max())
+        x, y = x / x.sum(), y / y.sum()
+        if 2 * t >= rounds:  # the first half is far from balance
+            sum_x += x
+            sum_y += y
+        gain, loss = y @ cover, cover @ x
+        log_x += (2 * gain - old_x) / scale
+        log_y -= (2 * loss - old_y) / scale
+        old_x, old_y = gain, loss
+    return sum_x / sum_x.sum(), sum_y / sum_y.sum()
 
 
 class Group:
@@ -201,25 +264,9 @@ class Group:
         self.count, self.room, self.runs = count, room, runs
 
 
-def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, **lp) -> list[Group]:
-    """The plan: groups of equal sequences that hold exactly ``counts`` pieces of each of ``lengths``."""
-    keep = counts > 0
-    lengths, counts = np.asarray(lengths)[keep].astype(np.int64), np.asarray(counts)[keep].astype(np.int64)
-    left = counts.copy()
-    groups: list[Group] = []
-    merged: dict[tuple, float] = {}
-    part = lengths < capacity
-    if part.any():
-        own = np.flatnonzero(part)
-        for chosen, share in solve_lp(lengths[own], counts[own], capacity, **lp):
-            key = tuple(own[chosen].tolist())
-            merged[key] = merged.get(key, 0.0) + share
-    for key, share in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
-        kinds, times = np.unique(key, return_counts=True)
-        n = int(min(int(share + 1e-9), (left[kinds] // times).min()))
-        if n > 0:
-            left[kinds] -= n * times
-            groups.append(Group(n, capacity - int((lengths[kinds] * times).sum()), [(int(lengths[k]), int(t)) for k, t in zip(kinds, times, strict=True)]))
+def best_fit(lengths: np.ndarray, counts: np.ndarray, groups: list[Group], capacity: int) -> list[Group]:
+    """Puts the pieces, longest first, each into the sequences with the least room that it fits, or into new ones."""
+    groups = list(groups)
     by_room: dict[int, list[Group]] = {}
     for g in groups:
         by_room.setdefault(g.room, []).append(g)
@@ -236,7 +283,7 @@ def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
         offer(g)
 
     for i in np.argsort(-lengths, kind="stable"):
-        size, n = int(lengths[i]), int(left[i])
+        size, n = int(lengths[i]), int(counts[i])
         while n:
             at = bisect.bisect_left(rooms, size)
             if at == len(rooms):  # open new sequences
@@ -259,6 +306,61 @@ def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     return groups
 
 
+def number(groups: list[Group]) -> int:
+    return sum(g.count for g in groups)
+
+
+def _plan(configurations: list[tuple[tuple[int, ...], int]], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Group]:
+    """Whole sequences of each configuration, never more than there are pieces for; the rest best-fit."""
+    left, at, plan = counts.copy(), {int(s): i for i, s in enumerate(lengths)}, []
+    for chosen, n in sorted(configurations, key=lambda x: (-x[1], x[0])):
+        kinds, times = np.unique([at[s] for s in chosen], return_counts=True)
+        n = min(n, int((left[kinds] // times).min()))
+        if n > 0:
+            left[kinds] -= n * times
+            plan.append(Group(n, capacity - sum(chosen), [(int(lengths[k]), int(t)) for k, t in zip(kinds, times, strict=True)]))
+    return best_fit(lengths, left, plan, capacity)
+
+
+def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, gap: float = 0.002, cells: int = 4_000_000, **lp) -> tuple[list[Group], float]:
+    """The plan, groups of equal sequences that hold exactly ``counts`` pieces of each of ``lengths``, and the lower bound it was held against.
+
+    ``cells`` bounds the memory of a game; with more lengths and configurations than that the first solution stands.
+    """
+    keep = counts > 0
+    lengths, counts = np.asarray(lengths)[keep].astype(np.int64), np.asarray(counts)[keep].astype(np.int64)
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order], counts[order]
+    if not len(lengths):
+        return [], 0.0
+    groups, bound = best_fit(lengths, counts, [], capacity), float(counts[2 * lengths > capacity].sum())
+    pool = {tuple(sorted((s for s, t in g.runs for _ in range(t)), reverse=True)) for g in groups}
+    used, _, dual = solve_lp(lengths, counts, lengths / capacity, capacity, **lp)
+    bound, plan = max(bound, dual), _plan(used, lengths, counts, capacity)
+    groups = plan if number(plan) <= number(groups) else groups
+    pool |= {c for c, _ in used}
+    at = {int(s): i for i, s in enumerate(lengths)}
+    while number(groups) > np.ceil(bound - 1e-9) * (1 + gap) and len(pool) * len(lengths) <= cells:
+        configurations = sorted(pool)
+        cover = np.zeros((len(lengths), len(configurations)))
+        for j, c in enumerate(configurations):
+            np.add.at(cover[:, j], [at[s] for s in c], 1.0)
+        cover /= counts[:, None]
+        share, weight = balance(cover)
+        prices = weight / counts
+        best, first = knapsack(lengths, prices, capacity)
+        bound = max(bound, float((1 - 1e-6) / best[capacity]))  # the weights sum up to one
+        total = 1 / (cover @ share).min()
+        plan = _plan([(c, int(total * x)) for c, x in zip(configurations, share, strict=True)], lengths, counts, capacity)
+        groups = plan if number(plan) < number(groups) else groups
+        value = prices + best[capacity - lengths]
+        new = {tuple(sorted([int(s), *_take(first, capacity - int(s))], reverse=True)) for s, v in zip(lengths, value, strict=True) if v > (1 - 1e-4) * best[capacity]} - pool
+        if not new or total <= bound * (1 + gap):
+            break
+        pool |= new
+    return groups, bound
+
+
 def slots_of(groups: list[Group]) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, base sequence, times, offset) in the order of length and rank; number of sequences."""
     used: dict[int, int] = {}
@@ -284,9 +386,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64, seed:
     pieces = stage_table(pieces.withColumn("_h", spread(F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.lit(seed))), "pieces")
     found = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     sizes = np.array(sorted((r["length"], r["n"]) for r in found), np.int64).reshape(-1, 2)
-    table, _ = slots_of(pack_histogram(sizes[:, 0], sizes[:, 1], capacity, **lp))
+    table, _ = slots_of(pack_histogram(sizes[:, 0], sizes[:, 1], capacity, **lp)[0])
     ranked = running(pieces, ["length"], "_h", ["doc_id", "piece", "ids_crc32"], F.lit(1), "_rank", buckets).drop("_h")
-    shared = pieces.sparkSession.sparkContext.broadcast(table)  # its rows follow the lengths and rounds, not the input
+    shared = pieces.sparkSession.sparkContext.broadcast(table)  # its rows follow the lengths and configurations, not the input
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = shared.value
@@ -301,8 +403,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64, seed:
             nth = rank - plan[at, 1]
             yield part.drop(columns="_rank").assign(sequence_id=plan[at, 2] + nth // plan[at, 3], offset=plan[at, 4] + nth % plan[at, 3] * size)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in ranked.drop("_rank").dtypes)
-    return ranked.mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    rest = ", ".join(f"`{c}` {t}" for c, t in ranked.drop("_rank", "doc_id").dtypes)
+    ranked = ranked.select("doc_id", *[c for c in ranked.columns if c != "doc_id"])
+    return with_text_ids(ranked, run, "doc_id", f"{rest}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, **lp) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
-BUNDLES = "data binary, page_ids array<long>, frames array<int>, offsets array<long>, lengths array<long>"
+BUNDLES = "bundle string, data binary, page_ids array<long>, frames array<int>, offsets array<long>, lengths array<long>"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -88,7 +88,7 @@ class Bundle:
         table = b"".join(struct.pack("<II", *x) for x in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE)
         data = b"".join(self.done) + struct.pack("<II", SKIPPABLE, len(table)) + table
         ids, frames, offsets, lengths = zip(*self.index, strict=True)
-        return data, list(ids), list(frames), list(offsets), list(lengths)
+        return hashlib.sha1(data).hexdigest(), data, list(ids), list(frames), list(offsets), list(lengths)
 
 
 def seek_table(data: bytes) -> list[tuple[int, int, int]]:
@@ -129,10 +129,13 @@ def with_revisits(pages: DataFrame, min_size: int = 0) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, frame_bytes: int = 1 << 17, bundle_bytes: int = 4 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Rows of ``with_revisits`` -> one row for each bundle (lazy; stage it before reading it twice)."""
+    """Rows of ``with_revisits`` -> one row for each bundle (lazy; stage it before reading it twice).
+
+    ``bundle`` is the SHA-1 of the archive. Null page_ids and urls are kept as null; no pages, no bundles.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, now = ["data", "page_ids", "frames", "offsets", "lengths"], None
+        names, now = ["bundle", "data", "page_ids", "frames", "offsets", "lengths"], None
         for part in parts:
             for page_id, url, html, sha, size, refers in zip(part.page_id, part.url, part.html, part.sha, part.payload_bytes, part.refers_to, strict=True):
                 page_id, refers = None if pd.isna(page_id) else int(page_id), None if pd.isna(refers) else int(refers)
@@ -191,9 +194,22 @@ def round_trip(pages: DataFrame, min_size: int = 0, payloads: bool = True) -> Da
 
 
 def locate(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
-    """The index rows (page_id, frame, offset, length) of some pages, without their archives' data."""
-    index = bundles.select(F.posexplode("page_ids").alias("_i", "page_id"), "frames", "offsets", "lengths")
-    index = index.select("page_id", F.get("frames", "_i").alias("frame"), F.get("offsets", "_i").alias("offset"), F.get("lengths", "_i").alias("length"))
-    return index.join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
+    """The index rows (bundle, page_id, frame, offset, length) of some pages, without their archives' data.
+
+    Repeated ids give the rows once; ids that no bundle has, and null, give none.
+    """
+    index = bundles.select("bundle", F.posexplode("page_ids").alias("_i", "page_id"), "frames", "offsets", "lengths")
+    index = index.select("bundle", "page_id", F.get("frames", "_i").alias("frame"), F.get("offsets", "_i").alias("offset"), F.get("lengths", "_i").alias("length"))
+    return index.join(page_ids.select("page_id").distinct(), "page_id", "left_semi").select("bundle", "page_id", "frame", "offset", "length")
 
 
+def fetch(bundles: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``locate`` -> (bundle, page_id, record): each record's bytes, from its frame alone."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            got = [read_record(*x) for x in zip(part["data"], part["frame"], part["offset"], part["length"], strict=True)]
+            yield part[["bundle", "page_id"]].assign(record=got)
+
+    rows = found.join(bundles.select("bundle", "data").dropDuplicates(["bundle"]), "bundle")
+    return rows.mapInPandas(run, "bundle string, page_id long, record binary")

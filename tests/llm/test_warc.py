@@ -42,4 +42,8 @@ def test_random_access_and_locate(spark):
     for k in (0, len(row.page_ids) - 1):
         fields, _, payload = warc.parse(warc.read_record(bytes(row.data), row.frames[k], row.offsets[k], row.lengths[k]))
         assert fields["WARC-Record-ID"] == f"<urn:page:{row.page_ids[k]}>" and payload == f"text {row.page_ids[k]} ".encode() * 50
-    assert [r.page_id for r in warc.locate(bundles, spark.createDataFrame([(7,)], "page_id long")).collect()] == [7]
+    wanted = spark.createDataFrame([(7,), (250,), (7,), (999,), (None,)], "page_id long")
+    found = warc.locate(bundles, wanted)
+    assert sorted(r.page_id for r in found.collect()) == [7, 250] and bundles.select("bundle").distinct().count() == bundles.count()
+    for r in warc.fetch(bundles, found).collect():
+        assert warc.parse(bytes(r.record))[2] == f"text {r.page_id} ".encode() * 50

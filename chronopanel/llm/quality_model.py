@@ -26,13 +26,18 @@ HOLD_OUT, CUT = 5, 0.3
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % HOLD_OUT == 0
+    """A null id counts as an empty text, whose remainder is 0: held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % HOLD_OUT == 0
 
 
 def to_bytes(text: str | None) -> np.ndarray:
-    """Bytes of a text, filled up to a filter's width."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return np.concatenate([raw, np.zeros(max(0, WIDTH - len(raw)), np.uint8)])
+    return filled((text or "").encode())
+
+
+def filled(raw: bytes) -> np.ndarray:
+    """Bytes with zeros behind them, up to a filter's width and to whole strides, so that a filter covers the last byte."""
+    size = max(WIDTH, -(-(len(raw) - WIDTH) // STRIDE) * STRIDE + WIDTH)
+    return np.frombuffer(raw.ljust(size, b"\0"), np.uint8)
 
 
 def halves_of(n: int) -> int:
@@ -181,7 +186,9 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES, epochs: int = EPOCHS) -> Network:
     """A network from at most ``most_docs`` labelled documents that aren't held out, chosen by a hash of doc_id.
 
-    A third of the sample is kept for label 0. Without labels the network is untrained.
+    A third of the sample is kept for label 0. Without labels the network is
+    untrained. Null ids and null labels are never learned from; of several labels of an id the
+    greatest counts, and of several rows of an id the text of the least bytes.
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -198,14 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_b
     got = sorted(got, key=lambda r: r["doc_id"])
     net = Network()
     if got:
-        fill = bytes(WIDTH)
-        raws = [np.frombuffer(x + fill[len(x) :] if len(x) < WIDTH else x, np.uint8) for x in (bytes.fromhex(r["raw"] or "") for r in got)]
+        raws = [filled(bytes.fromhex(r["raw"] or "")) for r in got]
         net.fit(raws, [r["quality"] for r in got], epochs)
     return net
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of docs plus the score; null and empty texts get the score of an empty document."""
+    """All columns of docs plus the score; null and empty texts get the score of an empty document. Rows are independent."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 20 KB at any size of the input
 
     @F.pandas_udf("double")

@@ -19,10 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import stage_table, unused
 
-#: Lines shorter than this many code points are compared for equality alone.
-MIN_NEAR = 12
 COARSE, FINE = 2, 16
 
 
@@ -58,29 +56,32 @@ def _crowded(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min("line_id").alias("_p"), F.max("line_id").alias("_q")).where("_p != _q").select("key")
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEAR) -> DataFrame:
+def duplicate_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     """(doc_id, text_key, place) of each line to drop and (kept_doc, kept_place) of the earliest line it repeats.
 
-    Rows equal in doc_id and text are one document. Null doc_ids come last.
+    Rows equal in doc_id and text are one document. Null doc_ids come last. Null
+    texts are empty; lines without a word are no lines here; ties of doc_id go by a hash of the text.
+    Other columns are ignored, and no rows give no rows.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("text_key").alias("k"), F.col("place").alias("p"))
     lines = _lines(docs)
     length = F.length("line")
-    keys = F.when(length >= min_near, F.transform(_rests(F.col("line"), length, COARSE), lambda x: x["key"]))
+    keys = F.transform(_rests(F.col("line"), length, COARSE), lambda x: x["key"])
     lines = lines.select("doc_id", "text_key", "place", _id(F.col("line")).alias("line_id"), order.alias("at"), (keys if max_edits else F.array().cast("array<bigint>")).alias("keys"))
     lines = stage_table(lines, "lines")
-    distinct = stage_table(lines.groupBy("line_id").agg(F.min("at").alias("first"), F.first("keys").alias("keys")), "distinct-lines")
-    best = distinct.select("line_id", F.col("first").alias("source"))
+    distinct = stage_table(lines.groupBy("line_id").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct-lines")
+    best = distinct.where("n > 1").select("line_id", F.col("first").alias("source"))
     if max_edits:
-        partner = earlier_partners(docs, distinct, min_near)
-        best = distinct.select("line_id", "first").join(partner, "line_id", "left").select("line_id", F.least("first", "partner").alias("source"))
+        partner = stage_table(earlier_partners(docs, distinct), "partners")
+        best = distinct.join(partner, "line_id", "left").where("n > 1 or partner is not null").select("line_id", F.least("first", "partner").alias("source"))
+    best = stage_table(best, "sources")  # of lines that repeat or have a partner; a plain scan, so that a frequent line's side of the join can be split
     found = lines.join(best, "line_id").where(F.col("source") < F.col("at"))
     return found.select("doc_id", "text_key", "place", F.col("source.d").alias("kept_doc"), F.col("source.p").alias("kept_place"))
 
 
-def earlier_partners(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
+def earlier_partners(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """distinct (line_id, first, keys) -> (line_id, partner): the earliest line one edit away, if earlier than ``first``."""
     # half of the id will do here: this only proposes lines, and these are the largest shuffles
     each = distinct.select(F.col("line_id.a").alias("line_id"), F.explode("keys").alias("key"))
@@ -115,24 +116,31 @@ def earlier_partners(docs: DataFrame, distinct: DataFrame, min_near: int) -> Dat
 
 
 def drop_lines(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Documents without their duplicate lines; n_chars, where there is one, follows. No row goes, even if no line is left."""
-    gone = duplicates.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_list("place").alias("_gone"))
+    """Documents without their duplicate lines; n_chars, where there is one, follows. No row goes, even if no line is left.
+
+    Null texts stay null; all other columns are kept as they are, whatever their names.
+    """
+    d, k, gone_, new = unused(docs.columns, "d", "k", "gone", "new")
+    gone = duplicates.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(d), F.col("text_key").alias(k)).agg(F.collect_set("place").alias(gone_))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_k": F.xxhash64(text)})
-    out = keyed.join(gone, ["_d", "_k"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    values = {"text": F.col("_new")}
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), k: F.xxhash64(text)})
+    out = keyed.join(gone, [d, k], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
+    out = out.withColumn(new, F.when(F.col(gone_).isNull(), F.col("text")).otherwise(kept))
+    values = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(values).select(*docs.columns)
+        values["n_chars"] = F.when(F.col(gone_).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(values).select(*[f"`{c}`" for c in docs.columns])
 
 
-def line_report(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEAR) -> DataFrame:
-    """One row for each document: doc_id, n_lines (with a word), n_dropped, dropped (places, in order)."""
+def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
+    """One row for each document: doc_id, n_lines (with a word), n_dropped, dropped (places, in order).
+
+    Null and empty texts have no lines; rows equal in doc_id and text get equal rows.
+    """
     text = F.coalesce("text", F.lit(""))
     n = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_k"), n.cast("long").alias("n_lines"))
-    gone = duplicate_lines(docs, max_edits, min_near).groupBy(F.col("doc_id").alias("_d"), F.col("text_key")).agg(F.sort_array(F.collect_set("place")).alias("_gone"))
+    gone = duplicate_lines(docs, max_edits).groupBy(F.col("doc_id").alias("_d"), F.col("text_key")).agg(F.sort_array(F.collect_set("place")).alias("_gone"))
     out = base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]) & (base["_k"] == gone["text_key"]), "left")
     return out.select("doc_id", "n_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("dropped"))

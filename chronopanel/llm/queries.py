@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, token_counts, warc
-from .common import stage_table
+from .common import stage_table, with_text_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "top_score"])
 
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    return found.mapInPandas(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double")
+    return with_text_ids(found, digest, "doc_id", "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules.text_statistics(table(spark, sf_dir, "documents")).withColumn("base_failed", quality_rules.base_failed())
-    d = len(quality_rules.FLOORS)
-    docs = docs.select("doc_id", "lang", "source", *quality_rules.STATS, "base_failed", *[x.alias(f"_x{i}") for i, x in enumerate(quality_rules.dimensions())])
-    got = quality_rules.judge(stage_table(docs, "rule-documents"), quality_rules.CUT, quality_rules.STEPS, d)
+    docs = stage_table(docs.select("doc_id", "lang", "source", *quality_rules.STATS, "base_failed"), "rule-documents")
+    got = quality_rules.judge(docs, quality_rules.dimensions())
     return got.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
@@ -105,10 +104,10 @@ WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS place FROM raw),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT line, min((doc_id, place)) AS first, length(line) AS n FROM w GROUP BY line),
-h AS (SELECT DISTINCT line, first, n, h FROM (SELECT *, unnest([n // 2, (n - 1) // 2]) AS h FROM d WHERE n >= 12)),
+h AS (SELECT DISTINCT line, first, n, h FROM (SELECT *, unnest([n // 2, (n - 1) // 2]) AS h FROM d)),
 c AS (SELECT a.line AS la, b.line AS lb, a.first AS fa, b.first AS fb FROM h a JOIN h b ON a.h = b.h AND left(a.line, a.h) = left(b.line, b.h) WHERE b.first < a.first AND abs(a.n - b.n) <= 1
       UNION SELECT a.line, b.line, a.first, b.first FROM h a JOIN h b ON a.h = b.h AND right(a.line, a.h) = right(b.line, b.h) WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
-e AS (SELECT la, min(fb) AS partner FROM c WHERE levenshtein(la, lb) <= 1 GROUP BY la),
+e AS (SELECT la, min(fb) AS partner FROM c WHERE len(list_filter(range(greatest(length(la), length(lb))), lambda p: left(la, CAST(p AS INT)) = left(lb, CAST(p AS INT)) AND right(la, CAST(greatest(length(la), length(lb)) - p - 1 AS INT)) = right(lb, CAST(greatest(length(la), length(lb)) - p - 1 AS INT)))) > 0 GROUP BY la),
 s AS (SELECT d.line, least(d.first, coalesce(e.partner, d.first)) AS source FROM d LEFT JOIN e ON d.line = e.la),
 g AS (SELECT w.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.source < (w.doc_id, w.place)) AS n_dropped,
       coalesce(string_agg(w.place, ',' ORDER BY w.place) FILTER (WHERE s.source < (w.doc_id, w.place)), '') AS dropped FROM w JOIN s USING (line) GROUP BY w.doc_id)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronopanel.llm import line_dedup, mixing, near_dup, packing, quality_rules
 from chronopanel.llm.common import stage_table
@@ -22,18 +21,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the least doc_id, then the least hashes; rows that repeat become one."""
-    classes = stage_table(near_dup.near_duplicates(docs), "classes")
-    # class_id alone is no key: unlike texts under one repeated or null doc_id are classes of their own
-    lead = classes.where(F.col("doc_id").eqNullSafe(F.nullif("class_id", F.lit(near_dup.NO_ID)))).groupBy("class_h1", "class_h2").agg(F.min(F.struct("class_id", "h1", "h2")).alias("_h"))
-    lead = lead.select(F.col("_h.class_id").alias("_id"), F.col("_h.h1").alias("_h1"), F.col("_h.h2").alias("_h2"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dup.NO_ID)), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit("second"), text)})
-    kept = keyed.join(lead, (F.col("_i") == F.col("_id")) & (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left_semi")
-    return kept.dropDuplicates(["_i", "_a", "_b"]).select(*docs.columns)
+    return near_dup.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and for the last time as far, as the mix takes them."""
+    """Documents as often, and for the last time as far, as the mix takes them, in the order of the mix."""
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
@@ -44,11 +36,18 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 
-#: Signatures, the linear program and the tokenizer have no SQL form; tests hold each stage against brute force.
+#: Signatures, the linear program and the tokenizer have no SQL form; tests/llm holds each stage's operator against brute
+#: force on its own, and the stages on tables with nulls, empty and long texts, repeats and clashing names.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and reread.
+
+    Null and empty texts fail the base rules and end there; null ids, languages and sources are kept as such;
+    documents that lose all lines stay as empty ones until near_dup makes one of them, which the mix never takes. Rows
+    that repeat become one in near_dup. An empty table gives no rows and the columns of the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -1,11 +1,11 @@
 """Event-history features at month starts, from records strictly before each of them.
 
 A *spine* has one row for each (entity, obs), obs being a month start. Events
-have event_id, entity, owner, grp, start, end (null: open) and duration. Counts
-of windows come from events expanded to the months they fall into; measures of
-all history come from one running window over monthly deltas, so an entity's
-history is read once and never multiplied by the spine. Everything of an entity
-shares one hash partitioning by entity.
+have event_id, entity, owner, grp, start, end (null: open) and duration. Every
+measure is a running window over monthly deltas: an event adds to the month in which it
+begins to count and takes away in the month in which it ends to, so it is two rows
+however long it counts, and a key has at most one row for each month before anything is
+sorted. Events and history are never multiplied by the spine.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import OPEN, expand_active, expand_forward, expand_window, next_month
+from .joins import OPEN, first_month_from, next_month
 
 AGE_DAYS = 365.25
 
@@ -32,75 +32,156 @@ def entity_month_spine(entities: DataFrame, lo: str, hi: str) -> DataFrame:
     return df.select(F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("obs"), "entity", "code", "owner", "grp", "first_date")
 
 
+def active_span(start: str = "start", end: str = "end") -> tuple[Column, Column]:
+    """First and last month start with start <= obs < end; an open end never comes."""
+    stop = F.coalesce(F.date_sub(F.col(end), 1), F.lit(OPEN).cast("date"))
+    return first_month_from(F.col(start)), F.trunc(stop, "month")
+
+
+def window_span(months: int, start: str = "start") -> tuple[Column, Column]:
+    """First and last month start with obs - months <= start < obs."""
+    month = next_month(F.col(start))
+    last = F.when(F.trunc(start, "month") == F.col(start), F.add_months(F.col(start), months)).otherwise(F.add_months(month, months - 1))
+    return month, last
+
+
+def deltas(events: DataFrame, keys: list[str], spans: dict[str, tuple[Column, Column]], points: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Events -> (keys, obs, names): +1 at a span's first month and -1 after its last, and the values of points in their months.
+
+    Points that share a name's end in ``_max`` or ``_min`` are reduced so, all others are summed up. Months are null where there is none.
+    """
+    points = points or {}
+    columns = {n: F.lit(1) for n in spans} | {n: v for n, (_, v) in points.items()}
+    mark = lambda when, name, value: F.struct(when.alias("obs"), *[F.when(F.lit(n == name), value if n == name else c).alias(n) for n, c in columns.items()])
+    marks = []
+    for n, (first, last) in spans.items():
+        marks += [mark(F.when(first <= last, first), n, F.lit(1)), mark(F.when(first <= last, F.add_months(last, 1)), n, F.lit(-1))]
+    marks += [mark(month, n, value) for n, (month, value) in points.items()]
+    rows = events.select(*keys, F.inline(F.array(*marks))).where("obs is not null")
+    how = lambda n: F.max(n) if n.endswith("_max") else F.min(n) if n.endswith("_min") else F.sum(n)
+    return rows.groupBy(*keys, "obs").agg(*[how(n).alias(n) for n in columns])
+
+
+def running(spine: DataFrame, changes: DataFrame, keys: list[str], aggregates: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """Spine rows (keys, obs and the columns to ``keep``) with running aggregates over deltas of their key with month <= obs.
+
+    Deltas are summed up by month already, so a key has at most a row for each
+    month. Without columns to keep, spine rows are reduced to distinct ones first.
+    """
+    values = [c for c in changes.columns if c not in (*keys, "obs")]
+    own = [c for c in keep or [] if c not in (*keys, "obs")]
+    empty = lambda df, names: {n: F.lit(None).cast(df.schema[n].dataType) for n in names}
+    points = spine.select(*keys, "obs", *own) if keep else spine.select(*keys, "obs").distinct()
+    both = points.withColumns(empty(changes, values) | {"_spine": F.lit(1)}).unionByName(changes.withColumns(empty(spine, own) | {"_spine": F.lit(0)}))
+    w = Window.partitionBy(*keys).orderBy("obs", "_spine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select(*keys, "obs", *own, "_spine", *[a.over(w).alias(n) for n, a in aggregates.items()]).where("_spine = 1").drop("_spine")
+
+
+def _label_spans(horizon: int) -> dict[str, tuple[Column, Column]]:
+    return {"_on": active_span(), "_soon": (first_month_from(F.date_sub(F.col("start"), horizon)), F.trunc(F.date_sub(F.col("start"), 1), "month"))}
+
+
+def _labels() -> dict[str, Column]:
+    on = F.coalesce(F.col("_on"), F.lit(0)) > 0
+    return {"in_event": on.cast("int"), "label": (~on & (F.coalesce(F.col("_soon"), F.lit(0)) > 0)).cast("int")}
 
 
 def forward_label(spine: DataFrame, events: DataFrame, lo: str, hi: str, horizon: int = 90) -> DataFrame:
     """Adds in_event and label: an event starts in (obs, obs + horizon] and none is on at obs."""
-    keys = events.where("entity is not null and start is not null").select("entity", "start", "end")
-    now = expand_active(keys, lo, hi).select("entity", "obs").distinct().withColumn("_in", F.lit(1))
-    soon = expand_forward(keys, lo, hi, horizon).select("entity", "obs").distinct().withColumn("_soon", F.lit(1))
-    out = spine.join(now, ["entity", "obs"], "left").join(soon, ["entity", "obs"], "left")
-    out = out.withColumn("in_event", F.coalesce("_in", F.lit(0)))
-    return out.withColumn("label", F.when((F.col("in_event") == 0) & F.col("_soon").isNotNull(), 1).otherwise(0)).drop("_in", "_soon")
+    clean = events.where("entity is not null and start is not null")
+    changes = deltas(clean, ["entity"], _label_spans(horizon))
+    out = running(spine, changes, ["entity"], {"_on": F.sum("_on"), "_soon": F.sum("_soon")}, spine.columns)
+    return out.withColumns(_labels()).select(*spine.columns, "in_event", "label")
 
 
-def windowed_counts(events: DataFrame, keys: list[str], lo: str, hi: str, months: list[int], name: str = "events", start: str = "start", distinct: str | None = "event_id") -> DataFrame:
-    """(keys, obs, {name}_{n}m): events, or distinct ids, that started in [obs - n months, obs)."""
-    widest = expand_window(events, lo, hi, max(months), start)
-    inside = lambda n: F.col(start) >= F.add_months(F.col("obs"), -n)
-    count = lambda n: F.countDistinct(F.when(inside(n), F.col(distinct))) if distinct else F.count_if(inside(n))
-    return widest.groupBy(*keys, "obs").agg(*[count(n).alias(f"{name}_{n}m") for n in months])
+def id_deltas(events: DataFrame, keys: list[str], months: list[int], name: str, start: str = "start", distinct: str = "event_id", ever: str | None = None) -> DataFrame:
+    """(keys, obs, {name}_{n}m ...): changes of the number of distinct ids that started in [obs - n months, obs), and ``ever`` those of all time.
 
+    Starts of one id count up to the month in which its next start takes over, so that its spans are apart.
+    """
+    w = Window.partitionBy(*keys, distinct).orderBy(start)
+    rows = events.where(F.col(distinct).isNotNull()).select(*keys, distinct, start).distinct()
+    rows = rows.withColumns({"_next": F.lead(start).over(w), "_nth": F.row_number().over(w)})
+    until = F.add_months(next_month(F.col("_next")), -1)
+    spans = {f"{name}_{n}m": (window_span(n, start)[0], F.least(window_span(n, start)[1], until)) for n in months}
+    points = {ever: (F.when(F.col("_nth") == 1, next_month(F.col(start))), F.lit(1))} if ever else None
+    return deltas(rows, keys, spans, points)
 
-def running(spine: DataFrame, deltas: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Spine rows with running aggregates over deltas of their key with month <= obs.
 
-    Deltas are summed up by month already, so a key has at most a row for each month.
-    """
-    values = [c for c in deltas.columns if c not in (*keys, "obs")]
-    points = spine.select(*keys, "obs").distinct().withColumns({v: F.lit(None).cast(deltas.schema[v].dataType) for v in values}).withColumn("_spine", F.lit(1))
-    both = points.unionByName(deltas.withColumn("_spine", F.lit(0)))
-    w = Window.partitionBy(*keys).orderBy("obs", "_spine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.select(*keys, "obs", "_spine", *[a.over(w).alias(n) for n, a in aggregates.items()]).where("_spine = 1").drop("_spine")
+def key_grid(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """Each key that occurs with every month of the calendar."""
+    return df.select(*keys).distinct().withColumn("obs", F.explode(F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 month"))))
+
+
+def windowed_counts(events: DataFrame, keys: list[str], lo: str, hi: str, months: list[int], name: str = "events", start: str = "start", distinct: str | None = "event_id") -> DataFrame:
+    """(keys, obs, {name}_{n}m): events, or distinct ids, that started in [obs - n months, obs); months without any in the widest are left out."""
+    dated = events.where(F.col(start).isNotNull())
+    changes = id_deltas(dated, keys, months, name, start, distinct) if distinct else deltas(dated, keys, {f"{name}_{n}m": window_span(n, start) for n in months})
+    out = running(key_grid(changes, keys, lo, hi), changes, keys, {f"{name}_{n}m": F.sum(f"{name}_{n}m") for n in months}, ["obs"])
+    return out.where(F.col(f"{name}_{max(months)}m") > 0)
+
+
+FAMILIES = ("counts", "recency", "longest", "cycle")
 
 
-def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36)) -> DataFrame:
-    """(entity, obs) with event counts by window and of all time, recency, longest completed event, mean gap, overdue days.
+def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, keep: tuple[str, ...] = (), horizon: int = 90) -> DataFrame:
+    """(entity, obs, columns to ``keep``) with event counts by window and of all time, recency, longest completed event, mean gap, overdue days.
 
-    Ids are counted once in each window; gaps are between rows, so a repeated day is a gap of 0.
+    Only the ``families`` asked for are computed: counts, recency, longest, cycle, label (as ``forward_label``). Ids are
+    counted once in each window; gaps are between rows, so a repeated day is a gap of 0.
     """
     clean = events.where("entity is not null and start is not null")
-    counts = windowed_counts(clean, ["entity"], lo, hi, list(months))
-    first = clean.where("event_id is not null").groupBy("entity", "event_id").agg(F.min("start").alias("start"))
-    ids = first.groupBy("entity", next_month(F.col("start")).alias("obs")).agg(F.count("*").alias("ids"))
-    starts = clean.groupBy("entity", next_month(F.col("start")).alias("obs")).agg(F.count("*").alias("n"), F.max("start").alias("last"), F.min("start").alias("first"))
-    done = clean.where("end is not null and duration is not null").groupBy("entity", next_month(F.greatest("end", "start")).alias("obs")).agg(F.max("duration").alias("longest"))
-    deltas = starts.join(ids, ["entity", "obs"], "full").join(done, ["entity", "obs"], "full")
-    wide = running(spine, deltas, ["entity"], {"events_all": F.sum("ids"), "_n": F.sum("n"), "_last": F.max("last"), "_first": F.min("first"), "longest_days": F.max("longest")})
-    out = spine.select("entity", "obs").join(wide, ["entity", "obs"], "left").join(counts, ["entity", "obs"], "left")
+    month, points, spans, sums = next_month(F.col("start")), {}, {}, {}
+    if "recency" in families or "cycle" in families:
+        points |= {"_last_max": (month, F.col("start")), "_first_min": (month, F.col("start"))}
+        sums |= {"_last": F.max("_last_max"), "_first": F.min("_first_min")}
+    if "cycle" in families:
+        points["_n"] = (month, F.lit(1))
+        sums["_n"] = F.sum("_n")
+    if "longest" in families:
+        done = F.col("end").isNotNull() & F.col("duration").isNotNull()
+        points["_long_max"] = (F.when(done, next_month(F.greatest("end", "start"))), F.col("duration"))
+        sums["longest_days"] = F.max("_long_max")
+    if "label" in families:
+        spans |= _label_spans(horizon)
+        sums |= {"_on": F.sum("_on"), "_soon": F.sum("_soon")}
+    changes = deltas(clean, ["entity"], spans, points) if points or spans else None
+    if "counts" in families:
+        ids = id_deltas(clean, ["entity"], list(months), "events", ever="_ids")
+        sums |= {f"events_{n}m": F.sum(f"events_{n}m") for n in months} | {"events_all": F.sum("_ids")}
+        changes = ids if changes is None else changes.unionByName(ids, allowMissingColumns=True)
+    out = running(spine, changes, ["entity"], sums, ["obs", *keep])
+    added: dict[str, Column] = {}
+    if "label" in families:
+        added |= _labels()
+    if "counts" in families:
+        added |= {c: F.coalesce(c, F.lit(0)) for c in (*[f"events_{n}m" for n in months], "events_all")}
+        added["was_ever"] = F.coalesce("events_all", F.lit(0)) > 0
     since = F.datediff("obs", "_last")
-    gap = F.when(F.col("_n") >= 2, F.datediff("_last", "_first") / (F.col("_n") - 1).cast("double"))
-    return out.select(
-        "entity", "obs", *[F.coalesce(f"events_{n}m", F.lit(0)).alias(f"events_{n}m") for n in months], F.coalesce("events_all", F.lit(0)).alias("events_all"),
-        (F.coalesce("events_all", F.lit(0)) > 0).alias("was_ever"), since.alias("days_since_last"), F.datediff("obs", "_first").alias("days_since_first"),
-        "longest_days", gap.alias("mean_gap_days"), (since - gap).alias("overdue_days"),
-    )
+    if "recency" in families:
+        added |= {"days_since_last": since, "days_since_first": F.datediff("obs", "_first")}
+    if "longest" in families:
+        added["longest_days"] = F.col("longest_days")
+    if "cycle" in families:
+        gap = F.when(F.col("_n") >= 2, F.datediff("_last", "_first") / (F.col("_n") - 1).cast("double"))
+        added |= {"mean_gap_days": gap, "overdue_days": since - gap}
+    return out.select("entity", "obs", *[c for c in keep if c not in ("entity", "obs")], *[x.alias(n) for n, x in added.items()])
 
 
 def prior_event_counts(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36)) -> DataFrame:
-    return own_history(spine, events, lo, hi, months).select("entity", "obs", *[f"events_{n}m" for n in months], "events_all", "was_ever")
+    return own_history(spine, events, lo, hi, months, ("counts",))
 
 
 def event_recency(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
-    return own_history(spine, events, lo, hi).select("entity", "obs", "days_since_last", "days_since_first")
+    return own_history(spine, events, lo, hi, families=("recency",))
 
 
 def longest_prior(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
-    return own_history(spine, events, lo, hi).select("entity", "obs", "longest_days")
+    return own_history(spine, events, lo, hi, families=("longest",))
 
 
 def event_cycle(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
-    return own_history(spine, events, lo, hi).select("entity", "obs", "mean_gap_days", "overdue_days")
+    return own_history(spine, events, lo, hi, families=("cycle",))
 
 
 def months_of(spark, lo: str, hi: str) -> DataFrame:
@@ -144,20 +225,31 @@ def market_structure(entities: DataFrame, lo: str, hi: str) -> tuple[DataFrame,
     return total, own
 
 
+def group_activity(events: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(grp, obs): events of the group in 12 months and how many are on; months without any of them are left out."""
+    grouped = events.where("grp is not null and start is not null")
+    changes = id_deltas(grouped, ["grp"], [12], "_group").unionByName(deltas(grouped, ["grp"], {"_group_on": active_span()}), allowMissingColumns=True)
+    out = running(key_grid(changes, ["grp"], lo, hi), changes, ["grp"], {"_group_12m": F.sum("_group_12m"), "_group_on": F.sum("_group_on")}, ["obs"])
+    return out.where("_group_12m > 0 or _group_on > 0")
+
+
+def peers_of(df: DataFrame, groups: DataFrame, own_12m: str, own_now: str) -> DataFrame:
+    """Adds peer_events_12m and peer_in_event_now: the group's events without one's own, and whether the group but not oneself is in one."""
+    df = df.join(groups, ["grp", "obs"], "left")
+    peers = F.greatest(F.coalesce("_group_12m", F.lit(0)) - F.coalesce(own_12m, F.lit(0)), F.lit(0))
+    on = (F.coalesce("_group_on", F.lit(0)) > 0) & ~(F.coalesce(own_now, F.lit(0)) > 0)
+    return df.withColumns({"peer_events_12m": peers, "peer_in_event_now": on.cast("int")}).drop("_group_12m", "_group_on")
+
+
 def peer_events(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
     """(entity, obs): events of the group in 12 months without one's own, and whether the group but not oneself is in one.
 
     Group minus own stands for a join of the peers with each other.
     """
-    grouped = events.where("grp is not null")
-    group12 = windowed_counts(grouped, ["grp"], lo, hi, [12], "group_events")
-    own12 = windowed_counts(events, ["entity"], lo, hi, [12], "own_events")
-    group_now = expand_active(grouped.select("grp", "start", "end"), lo, hi).select("grp", "obs").distinct().withColumn("_g", F.lit(1))
-    own_now = expand_active(events.select("entity", "start", "end"), lo, hi).select("entity", "obs").distinct().withColumn("_o", F.lit(1))
-    df = spine.select("entity", "obs", "grp").join(own12, ["entity", "obs"], "left").join(own_now, ["entity", "obs"], "left")
-    df = df.join(group12, ["grp", "obs"], "left").join(group_now, ["grp", "obs"], "left")
-    peers = F.greatest(F.coalesce("group_events_12m", F.lit(0)) - F.coalesce("own_events_12m", F.lit(0)), F.lit(0))
-    return df.select("entity", "obs", peers.alias("peer_events_12m"), (F.col("_g").isNotNull() & F.col("_o").isNull()).cast("int").alias("peer_in_event_now"))
+    clean = events.where("entity is not null and start is not null")
+    changes = id_deltas(clean, ["entity"], [12], "_own").unionByName(deltas(clean, ["entity"], {"_own_on": active_span()}), allowMissingColumns=True)
+    own = running(spine, changes, ["entity"], {"_own_12m": F.sum("_own_12m"), "_own_on": F.sum("_own_on")}, ["obs", "grp"])
+    return peers_of(own, group_activity(events, lo, hi), "_own_12m", "_own_on").select("entity", "obs", "peer_events_12m", "peer_in_event_now")
 
 
 def exit_signals(exits: DataFrame, spine: DataFrame, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
@@ -172,9 +264,17 @@ def exit_signals(exits: DataFrame, spine: DataFrame, lo: str, hi: str) -> tuple[
 
 
 def coverage_breadth(spine: DataFrame, coverage: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(entity, obs): jurisdictions and benefit rows of coverage that is on at obs."""
-    on = expand_active(coverage, lo, hi).groupBy("entity", "obs").agg(F.countDistinct("jurisdiction").alias("n_jurisdictions"), F.count_if("benefit").alias("n_benefit_rows"))
-    return spine.select("entity", "obs").join(on, ["entity", "obs"], "left").fillna(0, ["n_jurisdictions", "n_benefit_rows"])
+    """(entity, obs): jurisdictions and benefit rows of coverage that is on at obs.
+
+    Of a jurisdiction's spans in the order of their first months each counts only beyond those before it.
+    """
+    first, last = active_span()
+    rows = coverage.where("entity is not null").select("entity", "jurisdiction", "benefit", first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    w = Window.partitionBy("entity", "jurisdiction").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_from", F.greatest("_a", F.add_months(F.max("_b").over(w), 1)))
+    spans = {"_places": (F.when(F.col("jurisdiction").isNotNull(), F.col("_from")), F.col("_b")), "_benefit": (F.when(F.col("benefit"), F.col("_a")), F.col("_b"))}
+    out = running(spine, deltas(rows, ["entity"], spans), ["entity"], {"_p": F.sum("_places"), "_q": F.sum("_benefit")}, ["obs"])
+    return out.select("entity", "obs", F.coalesce("_p", F.lit(0)).alias("n_jurisdictions"), F.coalesce("_q", F.lit(0)).alias("n_benefit_rows"))
 
 
 def static_type_flags(coverage: DataFrame, col: str, flags: dict[str, str]) -> DataFrame:
@@ -194,10 +294,10 @@ def token_bridge_signals(spine: DataFrame, entity_tokens: DataFrame, foreign: Da
     bridge = entity_tokens.select("entity", "token").distinct()
     ever = bridge.join(foreign.select("token").distinct(), "token", "left_semi").select("entity").distinct().withColumn("_m", F.lit(1))
     # begun before obs and not ended before it: an end on obs is still on
-    still = foreign.select("token", F.date_add("start", 1).alias("start"), F.date_add("end", 1).alias("end"))
-    on = expand_active(still, lo, hi).select("token", "obs").distinct().withColumn("_on", F.lit(1))
-    new = expand_window(foreign.select("token", "start"), lo, hi, 12).select("token", "obs").distinct().withColumn("_new", F.lit(1))
-    hits = bridge.join(on.join(new, ["token", "obs"], "full"), "token").groupBy("entity", "obs").agg(F.sum("_on").alias("foreign_active"), F.sum("_new").alias("foreign_12m"))
+    still = foreign.select("token", F.date_add("start", 1).alias("start"), F.date_add("end", 1).alias("end"), F.col("start").alias("_s"))
+    changes = deltas(still, ["token"], {"_on": active_span(), "_new": window_span(12, "_s")})
+    months = running(key_grid(changes, ["token"], lo, hi), changes, ["token"], {"_on": F.sum("_on"), "_new": F.sum("_new")}, ["obs"]).where("_on > 0 or _new > 0")
+    hits = bridge.join(months, "token").groupBy("entity", "obs").agg(F.count_if(F.col("_on") > 0).alias("foreign_active"), F.count_if(F.col("_new") > 0).alias("foreign_12m"))
     out = spine.select("entity", "obs").join(ever, "entity", "left").join(hits, ["entity", "obs"], "left")
     return out.select("entity", "obs", F.coalesce("_m", F.lit(0)).alias("foreign_match"), F.coalesce("foreign_active", F.lit(0)).alias("foreign_active"), F.coalesce("foreign_12m", F.lit(0)).alias("foreign_12m"))
 

@@ -31,10 +31,18 @@ def global_topk(df: DataFrame, k: int, score: str = "score", ties: str = "entity
 
 
 def precision_at_k(df: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
-    """Positives among the top k over k; null where a key has fewer rows."""
+    """n, positives, hits and precision among the top k; no precision for a key of fewer rows or of one class."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
-    hits = topk(df, keys, max(ks)).groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("label")).otherwise(0)).cast("bigint").alias(f"hits_{k}") for k in ks])
-    return sizes.join(hits, keys).withColumns({f"p_at_{k}": F.when(F.col("n") >= k, F.col(f"hits_{k}") / F.lit(float(k))) for k in ks})
+    return with_precision(sizes, top_hits(df, keys, ks), keys, ks)
+
+
+def top_hits(df: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
+    return topk(df, keys, max(ks)).groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("label")).otherwise(0)).cast("bigint").alias(f"hits_{k}") for k in ks])
+
+
+def with_precision(sizes: DataFrame, hits: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    return sizes.join(hits, keys).withColumns({f"p_at_{k}": F.when(both & (F.col("n") >= k), F.col(f"hits_{k}") / F.lit(float(k))) for k in ks})
 
 
 def _by_score(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,22 +73,40 @@ def brier(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compute_metrics(df: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
-    """n, positives, base rate, precision at k, ROC and PR area, Brier score of each key."""
-    base = precision_at_k(df, keys, ks).drop(*[f"hits_{k}" for k in ks]).withColumn("base_rate", F.col("positives") / F.col("n"))
-    return base.join(roc_auc(df, keys), keys).join(pr_auc(df, keys), keys).join(brier(df, keys), keys)
+    """n, positives, base rate, precision at k, ROC and PR area, Brier score of each key; areas and precision are null with one class.
+
+    All but the top k comes from one pass over counts by score.
+    """
+    error = (F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))
+    steps = df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"), F.sum(error).alias("_e"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum("_n").over(w)})
+    # of a positive, the negatives below it and half of those beside it
+    above = F.col("_all") - F.col("_tp") - (F.col("_n") - F.col("_p")) / F.lit(2.0)
+    sums = steps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum(F.col("_p") * above).alias("_lost"), F.sum(F.col("_p") * F.col("_tp") / F.col("_all").cast("double")).alias("_ap"), F.sum("_e").alias("_err"))
+    neg = F.col("n") - F.col("positives")
+    both = (F.col("positives") > 0) & (neg > 0)
+    sums = with_precision(sums, top_hits(df, keys, ks), keys, ks)
+    return sums.select(
+        *keys, "n", "positives", *[f"p_at_{k}" for k in ks], (F.col("positives") / F.col("n")).alias("base_rate"),
+        F.when(both, 1 - F.col("_lost") / (F.col("positives").cast("double") * neg)).alias("roc_auc"), F.when(both, F.col("_ap") / F.col("positives")).alias("pr_auc"), (F.col("_err") / F.col("n")).alias("brier"),
+    )
 
 
-def heuristic_single(df: DataFrame, col: str) -> Column:
-    return F.col(col).cast("double")
+def heuristic_single(col: str, *keys: str) -> Column:
+    """A count, its many ties broken by the keys."""
+    return F.col(col).cast("double") + jitter(*keys, scale=1e-6)
 
 
-def heuristic_compound(prior: str, rate: str, weight: float = 0.01) -> Column:
-    return F.col(prior).cast("double") + F.lit(weight) * F.col(rate)
+def heuristic_compound(prior: str, rate: str, *keys: str, weight: float = 0.01) -> Column:
+    """A count, then a rate, then the keys."""
+    return F.col(prior).cast("double") + F.lit(weight) * F.col(rate) + jitter(*keys)
 
 
 def jitter(*keys: str, seed: int = 0, scale: float = 1e-9) -> Column:
     """A tiny reproducible tie-break from a hash of the keys, whatever the order of the rows."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_003)) * F.lit(scale / 1_000_003)
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.lit(scale) * (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)))
 
 
 def blend_scores(df: DataFrame, keys: list[str], first: str, second: str, w1: float = 2.0, w2: float = 1.0, out: str = "blend") -> DataFrame:

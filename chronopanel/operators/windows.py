@@ -29,10 +29,16 @@ def lag_gap(df: DataFrame, keys: list[str], date: str, ties: list[str], out: str
 
 
 def average_rank(df: DataFrame, keys: list[str], score: str, out: str = "rank") -> DataFrame:
-    """Ascending rank from 1; ties share their mean."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w.partitionBy(*keys, score))
-    return df.withColumn(out, F.rank().over(w.orderBy(score)) + (n - 1) / F.lit(2.0))
+    """Ascending rank from 1, null scores first; ties share their mean.
+
+    Ranks come from counts of distinct scores, so a key of many rows is sorted by its scores alone.
+    """
+    steps = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(F.col(score).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 + (F.col("_n") - 1) / F.lit(2.0)).drop("_n")
+    names = {c: f"_r_{c}" for c in [*keys, score]}
+    on = [df[c].eqNullSafe(F.col(n)) for c, n in names.items()]
+    return df.join(steps.withColumnsRenamed(names), on, "left").drop(*names.values())
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:

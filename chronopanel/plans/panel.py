@@ -6,33 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history as H
-from ..operators.ranking import blend_scores, heuristic_compound
+from ..operators.ranking import blend_scores, heuristic_compound, heuristic_single
 from .proxy import HI, LO, SPLITS, Tables
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame as a reliable checkpoint: what several branches read is computed once, and reread if an executor is lost.
+
+    It goes to the context's checkpoint folder, else to the one that ``spark.checkpoint.dir`` names; a session
+    on one machine without either uses its warehouse, and a cluster session raises.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    return df.checkpoint()
+
+
 def labelled_spine(t: Tables) -> DataFrame:
     return H.forward_label(H.entity_month_spine(t.entities(), LO, HI), t.events(), LO, HI)
 
 
-def assemble_features(t: Tables, spine: DataFrame) -> DataFrame:
-    """All feature families joined to the spine by their own keys; the spine's rows stay one to one.
+def assemble_features(t: Tables) -> DataFrame:
+    """All feature families, and in_event and label, on the spine, whose rows stay one to one.
 
-    Entity features share the partitioning by (entity, obs). Owner and group
-    roll-ups are a row for each key and month, small enough for AQE to broadcast
-    at most sizes and joined by sort and merge beyond them.
+    Entities and events, both narrow, are settled once for all families. One
+    running window by entity gives the label and all own measures; owner and group
+    roll-ups are a row for each key and month, broadcast by AQE below its size limit and joined by sort and
+    merge beyond it.
     """
-    entities, events = t.entities(), t.events()
-    grid = H.entity_month_spine(entities, LO, HI)  # without the label's joins, which no feature needs
-    own = H.own_history(grid, events, LO, HI)
-    peers = H.peer_events(grid, events, LO, HI)
+    entities, events = settled(t.entities()), settled(t.events())
+    grid = H.entity_month_spine(entities, LO, HI)
+    own = H.own_history(grid, events, LO, HI, families=(*H.FAMILIES, "label"), keep=("code", "owner", "grp", "first_date"))
     owner = H.owner_event_rate(entities, events, LO, HI)
     group, own_share = H.market_structure(entities, LO, HI)
     group_exits, owner_exits = H.exit_signals(t.exits(), grid, LO, HI)
-    cover = H.coverage_breadth(grid, t.coverage(), LO, HI)
-    types = H.static_type_flags(t.coverage(), "type", {"is_generic": "F", "is_brand": "O"})
+    coverage = t.coverage()
+    cover = H.coverage_breadth(grid, coverage, LO, HI)
+    types = H.static_type_flags(coverage, "type", {"is_generic": "F", "is_brand": "O"})
     foreign = H.token_bridge_signals(grid, t.entity_tokens(), t.foreign_events(), LO, HI)
     key = ["entity", "obs"]
-    df = spine.join(own, key, "left").join(peers, key, "left").join(cover, key, "left").join(foreign, key, "left").join(types, "entity", "left")
+    df = own.join(cover, key, "left").join(foreign, key, "left").join(types, "entity", "left")
+    df = H.peers_of(df, H.group_activity(events, LO, HI), "events_12m", "in_event")
     df = df.join(owner, ["owner", "obs"], "left").join(owner_exits, ["owner", "obs"], "left").join(group, ["grp", "obs"], "left").join(own_share, ["grp", "owner", "obs"], "left").join(group_exits, ["grp", "obs"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return df.select(
@@ -47,7 +64,7 @@ def assemble_features(t: Tables, spine: DataFrame) -> DataFrame:
 
 
 def build_panel(t: Tables, stamp: bool = False) -> DataFrame:
-    panel = assemble_features(t, labelled_spine(t))
+    panel = assemble_features(t)
     return panel.withColumn("loaded_at", F.current_timestamp()) if stamp else panel
 
 
@@ -72,19 +89,18 @@ def split_summary(tagged: DataFrame) -> DataFrame:
 
 def short_panel(t: Tables) -> DataFrame:
     """What the ranking queries need: label, own counts and owner rate."""
-    spine = labelled_spine(t)
-    events = t.events()
-    counts = H.prior_event_counts(H.entity_month_spine(t.entities(), LO, HI), events, LO, HI)
-    owner = H.owner_event_rate(t.entities(), events, LO, HI).select("owner", "obs", "owner_rate_12m")
-    return spine.join(counts, ["entity", "obs"], "left").join(owner, ["owner", "obs"], "left").fillna(0.0, ["owner_rate_12m"])
+    entities, events = t.entities(), t.events()
+    own = H.own_history(H.entity_month_spine(entities, LO, HI), events, LO, HI, families=("counts", "label"), keep=("code", "owner", "grp", "first_date"))
+    owner = H.owner_event_rate(entities, events, LO, HI).select("owner", "obs", "owner_rate_12m")
+    return own.join(owner, ["owner", "obs"], "left").fillna(0.0, ["owner_rate_12m"])
 
 
 def scored(t: Tables, split: str = "test") -> DataFrame:
-    """Rows of a split with two heuristic scores and their blend."""
+    """Rows of a split with two heuristic scores and their blend, settled: every metric reads them more than once."""
     df = exclude_and_split(short_panel(t), {split: SPLITS[split]})
-    df = df.withColumns({"single": F.col("events_36m").cast("double"), "compound": heuristic_compound("events_36m", "owner_rate_12m")})
-    df = df.withColumn("score", F.col("compound") / (F.col("compound") + 4))
-    return blend_scores(df, ["obs"], "compound", "single")
+    df = df.withColumns({"single": heuristic_single("events_12m", "entity", "obs"), "compound": heuristic_compound("events_12m", "owner_rate_12m", "entity", "obs")})
+    df = settled(df.withColumn("score", F.col("compound") / (F.col("compound") + 4)))
+    return settled(blend_scores(df, ["obs"], "compound", "single"))
 
 
 def ranked_long(t: Tables) -> DataFrame:

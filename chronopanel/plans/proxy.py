@@ -61,6 +61,6 @@ class Tables:
 
     def foreign_events(self) -> DataFrame:
         urgent = self.raw("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("start"))
-        df = self.items().where("l_returnflag = 'A' and q <= 2").join(urgent, "l_orderkey")
+        df = self.items().join(urgent, "l_orderkey")
         df = df.select("entity", "start", F.date_add("start", F.col("q")).alias("end")).join(self.entity_tokens(), "entity")
         return df.select("token", "start", "end").distinct()

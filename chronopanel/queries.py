@@ -32,7 +32,7 @@ ENTITIES = "entities AS (SELECT p.entity, p.entity AS code, owner, grp, first_da
 EVENTS = "events_ AS (SELECT event_id, i.entity, d AS start, CASE WHEN NOT (l_linestatus = 'O' AND d >= DATE '2001-06-01') THEN d + q END AS stop, l_linestatus AS status, l_suppkey AS reporter, owner, grp, CASE WHEN NOT (l_linestatus = 'O' AND d >= DATE '2001-06-01') THEN q END AS duration FROM items i LEFT JOIN parts p ON i.entity = p.entity WHERE l_returnflag = 'R')"
 EXITS = "exits AS (SELECT i.entity, d AS exit_date, owner, grp FROM items i LEFT JOIN parts p ON i.entity = p.entity WHERE l_returnflag = 'A' AND q = 50)"
 COVERAGE = "coverage AS (SELECT entity, s_nationkey AS jurisdiction, l_linestatus AS type, l_linestatus = 'F' AS benefit, d AS start, d + 30 * q AS stop FROM items LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'N')"
-TOKENS = "tokens AS (SELECT DISTINCT entity, upper(trim(unnest(string_split(p_name, ' ')))) AS token FROM parts), foreign_ AS (SELECT DISTINCT token, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + q AS stop FROM items i JOIN orders ON o_orderkey = l_orderkey JOIN tokens t ON i.entity = t.entity WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'A' AND q <= 2)"
+TOKENS = "tokens AS (SELECT DISTINCT entity, upper(trim(unnest(string_split(p_name, ' ')))) AS token FROM parts), foreign_ AS (SELECT DISTINCT token, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + q AS stop FROM items i JOIN orders ON o_orderkey = l_orderkey JOIN tokens t ON i.entity = t.entity WHERE o_orderpriority = '1-URGENT')"
 MONTHS = f"months AS (SELECT CAST(unnest(generate_series(DATE '{LO}', DATE '{HI}', INTERVAL 1 MONTH)) AS DATE) AS obs)"
 SPINE = "spine AS (SELECT obs, e.entity, code, owner, grp, first_date FROM months JOIN entities e ON first_date <= obs AND obs <= CASE WHEN status LIKE 'CANCELLED%' THEN status_date ELSE DATE '9999-12-31' END)"
 NOW = "now_ AS (SELECT DISTINCT s.entity, s.obs FROM spine s JOIN events_ e ON e.entity = s.entity AND e.start <= s.obs AND s.obs < coalesce(stop, DATE '9999-12-31'))"
@@ -70,7 +70,7 @@ PANEL = f"{BASE}, {EXITS}, {COVERAGE}, {TOKENS}, {LABELLED}, {OWN}, {OWNER}, {MA
  LEFT JOIN types t ON s.entity = t.entity LEFT JOIN owner_rates r ON s.obs = r.obs AND s.owner = r.owner LEFT JOIN ox ON s.obs = ox.obs AND s.owner = ox.owner LEFT JOIN market m ON s.obs = m.obs AND s.grp = m.grp LEFT JOIN own_share w ON s.obs = w.obs AND s.grp = w.grp AND s.owner = w.owner LEFT JOIN gx ON s.obs = gx.obs AND s.grp = gx.grp)"""
 TAGGED = "tagged AS (SELECT *, CASE " + " ".join(f"WHEN obs BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, (a, b) in SPLITS.items()) + " END AS split FROM {src} WHERE in_event = 0)"
 SHORT = f"{BASE}, {LABELLED}, {OWN}, {OWNER}, short AS (SELECT l.*, events_12m, events_36m, events_all, was_ever, coalesce(owner_rate_12m, 0.0) AS owner_rate_12m FROM labelled l JOIN own o ON l.entity = o.entity AND l.obs = o.obs LEFT JOIN owner_rates r ON l.obs = r.obs AND l.owner = r.owner), " + TAGGED.format(src="short")
-SCORED = SHORT + ", sc AS (SELECT *, events_36m::DOUBLE AS single, events_36m::DOUBLE + 0.01::DOUBLE * owner_rate_12m AS compound FROM tagged WHERE split = 'test'), sd AS (SELECT *, compound / (compound + 4) AS score, rank() OVER (PARTITION BY obs ORDER BY compound) + (count(*) OVER (PARTITION BY obs, compound) - 1) / 2.0::DOUBLE AS r1, rank() OVER (PARTITION BY obs ORDER BY single) + (count(*) OVER (PARTITION BY obs, single) - 1) / 2.0::DOUBLE AS r2 FROM sc), scored AS (SELECT * EXCLUDE (r1, r2), 2.0::DOUBLE * r1 + 1.0::DOUBLE * r2 AS blend FROM sd)"
+SCORED = SHORT + ", sc AS (SELECT *, events_12m::DOUBLE + 1e-6::DOUBLE * (('0x' || substr(md5(entity::VARCHAR || ':' || obs::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS single, events_12m::DOUBLE + 0.01::DOUBLE * owner_rate_12m + 1e-9::DOUBLE * (('0x' || substr(md5(entity::VARCHAR || ':' || obs::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS compound FROM tagged WHERE split = 'test'), sd AS (SELECT *, compound / (compound + 4) AS score, rank() OVER (PARTITION BY obs ORDER BY compound) + (count(*) OVER (PARTITION BY obs, compound) - 1) / 2.0::DOUBLE AS r1, rank() OVER (PARTITION BY obs ORDER BY single) + (count(*) OVER (PARTITION BY obs, single) - 1) / 2.0::DOUBLE AS r2 FROM sc), scored AS (SELECT * EXCLUDE (r1, r2), 2.0::DOUBLE * r1 + 1.0::DOUBLE * r2 AS blend FROM sd)"
 LONG = SCORED + ", long_ AS (SELECT 'single' AS ranker, obs, entity, label, single AS score FROM scored UNION ALL SELECT 'compound', obs, entity, label, compound FROM scored UNION ALL SELECT 'blend', obs, entity, label, blend FROM scored)"
 CURVES = """ranked AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, entity{tie}) AS rn FROM {t}),
 steps AS (SELECT {k}, score, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM {t} GROUP BY {k}, score),
@@ -513,7 +513,7 @@ def _(t):
     return R.tag_strata(P.scored(t), early, "events_all", "owner", ["Brand#11", "Brand#22"]).groupBy("stratum").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
 
 
-@query("e05_precision_at_k", SCORED + ", " + CURVES.format(k="obs", t="scored", tie="") + " SELECT obs, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) AS BIGINT) AS hits_10, CAST(sum(CASE WHEN rn <= 100 THEN label ELSE 0 END) AS BIGINT) AS hits_100, CASE WHEN count(*) >= 10 THEN sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) / 10.0::DOUBLE END AS p_at_10, CASE WHEN count(*) >= 100 THEN sum(CASE WHEN rn <= 100 THEN label ELSE 0 END) / 100.0::DOUBLE END AS p_at_100 FROM ranked GROUP BY obs")
+@query("e05_precision_at_k", SCORED + ", " + CURVES.format(k="obs", t="scored", tie="") + " SELECT obs, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) AS BIGINT) AS hits_10, CAST(sum(CASE WHEN rn <= 100 THEN label ELSE 0 END) AS BIGINT) AS hits_100, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= 10 THEN sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) / 10.0::DOUBLE END AS p_at_10, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= 100 THEN sum(CASE WHEN rn <= 100 THEN label ELSE 0 END) / 100.0::DOUBLE END AS p_at_100 FROM ranked GROUP BY obs")
 def _(t):
     return R.precision_at_k(P.scored(t), ["obs"], [10, 100])
 
@@ -533,16 +533,20 @@ def _(t):
     return R.brier(P.scored(t), ["obs"]).withColumn("brier", F.round("brier", 9))
 
 
-METRICS = " SELECT {k}, n, positives, p_at_10, p_at_50, positives::DOUBLE / n AS base_rate, round(CASE WHEN pos > 0 AND neg > 0 THEN (r - pos * (pos + 1) / 2.0::DOUBLE) / (pos::DOUBLE * neg) END, 9) AS roc_auc, round(CASE WHEN pos > 0 AND neg > 0 THEN ap / pos END, 9) AS pr_auc, brier FROM (SELECT {k}, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CASE WHEN count(*) >= 10 THEN sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) / 10.0::DOUBLE END AS p_at_10, CASE WHEN count(*) >= 50 THEN sum(CASE WHEN rn <= 50 THEN label ELSE 0 END) / 50.0::DOUBLE END AS p_at_50, round(avg((score - label) * (score - label)), 9) AS brier FROM ranked GROUP BY {k}) b JOIN area USING ({k})"
+METRICS = " SELECT {k}, n, positives, p_at_10, p_at_50, positives::DOUBLE / n AS base_rate, round(CASE WHEN pos > 0 AND neg > 0 THEN (r - pos * (pos + 1) / 2.0::DOUBLE) / (pos::DOUBLE * neg) END, 9) AS roc_auc, round(CASE WHEN pos > 0 AND neg > 0 THEN ap / pos END, 9) AS pr_auc, brier FROM (SELECT {k}, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= 10 THEN sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) / 10.0::DOUBLE END AS p_at_10, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= 50 THEN sum(CASE WHEN rn <= 50 THEN label ELSE 0 END) / 50.0::DOUBLE END AS p_at_50, round(avg((score - label) * (score - label)), 9) AS brier FROM ranked GROUP BY {k}) b JOIN area USING ({k})"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in ("roc_auc", "pr_auc", "brier")})
 
 
-@query("e09_metrics_by_stratum", SCORED + ", tg AS (SELECT s.*, entity * 1000000 + year(obs) * 100 + month(obs) AS tie, unnest(['overall', CASE WHEN events_all > 0 THEN 'warm' ELSE 'cold' END]) AS stratum FROM scored s), tt AS (SELECT stratum, label, score, tie AS entity FROM tg), " + CURVES.format(k="stratum", t="tt", tie="") + METRICS.format(k="stratum"))
+CLASSES = ["Brand#11", "Brand#22", "Brand#33"]
+
+
+@query("e09_metrics_by_stratum", SCORED + ", tr AS (SELECT DISTINCT entity FROM short WHERE in_event = 0 AND obs BETWEEN DATE '1996-01-01' AND DATE '1996-06-01'), tg AS (SELECT s.*, s.entity * 1000000 + year(obs) * 100 + month(obs) AS tie, unnest(['overall', CASE WHEN events_all > 0 THEN 'warm' ELSE 'cold' END, CASE WHEN tr.entity IS NOT NULL THEN 'seen' ELSE 'unseen' END, CASE WHEN owner IN ('Brand#11', 'Brand#22', 'Brand#33') THEN 'class_' || owner ELSE 'class_other' END]) AS stratum FROM scored s LEFT JOIN tr ON s.entity = tr.entity), tt AS (SELECT stratum, label, score, tie AS entity FROM tg), " + CURVES.format(k="stratum", t="tt", tie="") + METRICS.format(k="stratum"))
 def _(t):
-    df = P.scored(t).withColumn("stratum", F.explode(F.array(F.lit("overall"), F.when(F.col("events_all") > 0, "warm").otherwise("cold"))))
+    early = P.exclude_and_split(P.labelled_spine(t), {"early": ("1996-01-01", "1996-06-01")})
+    df = R.tag_strata(P.scored(t), early, "events_all", "owner", CLASSES)
     df = df.withColumn("entity", F.col("entity") * 1000000 + F.year("obs") * 100 + F.month("obs"))
     return _rounded(R.compute_metrics(df, ["stratum"], [10, 50]))
 
@@ -557,7 +561,7 @@ def _(t):
     return P.scored(t).select("obs", "entity", "single", "compound", "blend")
 
 
-TOPK = LONG + ", rk AS (SELECT *, row_number() OVER (PARTITION BY ranker, obs ORDER BY score DESC, entity) AS rn FROM long_), mon AS (SELECT ranker, obs, k, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= k THEN label ELSE 0 END) AS BIGINT) AS hits, CASE WHEN count(*) >= k THEN sum(CASE WHEN rn <= k THEN label ELSE 0 END) / k::DOUBLE END AS p_at_k FROM rk CROSS JOIN (SELECT unnest([10, 25, 50, 100]) AS k) GROUP BY 1, 2, 3)"
+TOPK = LONG + ", rk AS (SELECT *, row_number() OVER (PARTITION BY ranker, obs ORDER BY score DESC, entity) AS rn FROM long_), mon AS (SELECT ranker, obs, k, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= k THEN label ELSE 0 END) AS BIGINT) AS hits, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= k THEN sum(CASE WHEN rn <= k THEN label ELSE 0 END) / k::DOUBLE END AS p_at_k FROM rk CROSS JOIN (SELECT unnest([10, 25, 50, 100]) AS k) GROUP BY 1, 2, 3)"
 
 
 @query("e13_per_month_topk", TOPK + " SELECT * FROM mon")

@@ -15,15 +15,31 @@ def precision(spark, y, s, k):
 
 
 def test_precision(spark):
-    assert precision(spark, [0, 0, 0, 1, 1], [0.1, 0.2, 0.3, 0.9, 0.8], 2) == 1.0
-    assert precision(spark, [1, 1, 0, 0, 0], [0.1, 0.2, 0.5, 0.7, 0.9], 2) == 0.0
-    assert precision(spark, [1, 0, 1, 0, 0], [0.9, 0.8, 0.4, 0.3, 0.2], 2) == 0.5
-    assert precision(spark, [1, 0], [0.5, 0.5], 10) is None
+    labels, scores = [1, 0, 1, 1, 0, 0, 1], [0.35, 0.62, 0.91, 0.17, 0.88, 0.04, 0.73]  # by score: 1 0 1 0 1 1 0
+    assert [precision(spark, labels, scores, k) for k in (1, 2, 3, 5)] == [1.0, 0.5, 2 / 3, 3 / 5]
+    assert precision(spark, labels, scores, 8) is None
+    assert precision(spark, [0, 1, 0], [0.4, 0.4, 0.4], 2) == 0.5  # ties go by entity: rows 0 and 1
 
 
-def test_one_class(spark):
-    row = R.compute_metrics(scored(spark, [0] * 10, [i / 10 for i in range(10)]), ["k"], [5]).first()
-    assert row.roc_auc is None and row.pr_auc is None and row.brier is not None and row.p_at_5 == 0.0
+def test_one_class_has_no_curves_and_no_precision(spark):
+    for label in (0, 1):
+        row = R.compute_metrics(scored(spark, [label] * 6, [i / 8 for i in range(6)]), ["k"], [3]).first()
+        assert row.roc_auc is None and row.pr_auc is None and row.p_at_3 is None and row.n == 6
+        assert abs(row.brier - sum((i / 8 - label) ** 2 for i in range(6)) / 6) < 1e-12
+    assert precision(spark, [1, 1], [0.3, 0.2], 1) is None
+
+
+def test_metrics_equal_plain_python(spark):
+    import random
+
+    rng = random.Random(2)
+    labels, scores = [rng.randint(0, 1) for _ in range(60)], [rng.randint(0, 12) / 13 for _ in range(60)]
+    row = R.compute_metrics(scored(spark, labels, scores), ["k"], [7]).first()
+    pos, neg = [s for y, s in zip(labels, scores, strict=True) if y], [s for y, s in zip(labels, scores, strict=True) if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    area = sum(sum(p >= s for p in pos) / sum(x >= s for x in scores) for s in pos) / len(pos)
+    top = sorted(range(60), key=lambda i: (-scores[i], i))[:7]
+    assert abs(row.roc_auc - auc) < 1e-12 and abs(row.pr_auc - area) < 1e-12 and row.p_at_7 == sum(labels[i] for i in top) / 7
 
 
 def test_perfect_and_tied(spark):
@@ -34,15 +50,15 @@ def test_perfect_and_tied(spark):
 
 
 def test_average_rank(spark):
-    df = spark.createDataFrame([("A", 0.1), ("A", 0.5), ("A", 0.9), ("B", 1.0), ("B", 1.0), ("B", 2.0)], "m string, s double")
-    got = sorted((r.m, r.s, r["rank"]) for r in W.average_rank(df, ["m"], "s").collect())
-    assert [x[2] for x in got] == [1, 2, 3, 1.5, 1.5, 3]
+    rows = [("p", 7.0), ("p", 3.0), ("p", 7.0), ("p", 7.0), ("p", None), ("q", -2.5), ("q", 0.0), (None, 4.0)]
+    got = sorted(W.average_rank(spark.createDataFrame(rows, "m string, s double"), ["m"], "s").collect(), key=str)
+    assert sorted((str(r.m), str(r.s), r["rank"]) for r in got) == [("None", "4.0", 1), ("p", "3.0", 2), *[("p", "7.0", 4)] * 3, ("p", "None", 1), ("q", "-2.5", 1), ("q", "0.0", 2)]
 
 
 def test_blend(spark):
-    df = spark.createDataFrame([("A", 0.01, 5.0), ("A", 0.02, 1.0), ("B", 99.0, 1.0), ("B", 100.0, 5.0)], "m string, a double, b double")
+    df = spark.createDataFrame([("u", 4.0, 10.0), ("u", 9.0, 10.0), ("u", 1.0, 20.0), ("v", 0.5, 0.0)], "m string, a double, b double")
     got = {(r.m, r.a): r.blend for r in R.blend_scores(df, ["m"], "a", "b").collect()}
-    assert got == {("A", 0.01): 4.0, ("A", 0.02): 5.0, ("B", 99.0): 3.0, ("B", 100.0): 6.0}
+    assert got == {("u", 4.0): 2 * 2 + 1.5, ("u", 9.0): 2 * 3 + 1.5, ("u", 1.0): 2 * 1 + 3, ("v", 0.5): 3.0}
 
 
 def test_score_bins_close_right_and_merge(spark):

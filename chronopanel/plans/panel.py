@@ -25,8 +25,8 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def labelled_spine(t: Tables) -> DataFrame:
-    return H.forward_label(H.entity_month_spine(t.entities(), LO, HI), t.events(), LO, HI)
+def labelled_spine(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
+    return H.forward_label(H.entity_month_spine(t.entities(), lo, hi), t.events(), lo, hi)
 
 
 def assemble_features(t: Tables) -> DataFrame:
@@ -87,17 +87,17 @@ def split_summary(tagged: DataFrame) -> DataFrame:
     )
 
 
-def short_panel(t: Tables) -> DataFrame:
-    """What the ranking queries need: label, own counts and owner rate."""
+def short_panel(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
+    """What the ranking queries need, for some months: label, own counts and owner rate. All history before them is read."""
     entities, events = t.entities(), t.events()
-    own = H.own_history(H.entity_month_spine(entities, LO, HI), events, LO, HI, families=("counts", "label"), keep=("code", "owner", "grp", "first_date"))
-    owner = H.owner_event_rate(entities, events, LO, HI).select("owner", "obs", "owner_rate_12m")
+    own = H.own_history(H.entity_month_spine(entities, lo, hi), events, lo, hi, families=("counts", "label"), keep=("code", "owner", "grp", "first_date"))
+    owner = H.owner_event_rate(entities, events, lo, hi).select("owner", "obs", "owner_rate_12m")
     return own.join(owner, ["owner", "obs"], "left").fillna(0.0, ["owner_rate_12m"])
 
 
 def scored(t: Tables, split: str = "test") -> DataFrame:
     """Rows of a split with two heuristic scores and their blend, settled: every metric reads them more than once."""
-    df = exclude_and_split(short_panel(t), {split: SPLITS[split]})
+    df = exclude_and_split(short_panel(t, *SPLITS[split]), {split: SPLITS[split]})
     df = df.withColumns({"single": heuristic_single("events_12m", "entity", "obs"), "compound": heuristic_compound("events_12m", "owner_rate_12m", "entity", "obs")})
     df = settled(df.withColumn("score", F.col("compound") / (F.col("compound") + 4)))
     return settled(blend_scores(df, ["obs"], "compound", "single"))

@@ -23,6 +23,9 @@ from .plans import panel as P
 from .plans.proxy import HI, LO, SPLITS, Tables
 from .sources import io as S
 
+#: Months whose entities count as seen.
+EARLY = ("1996-01-01", "1996-06-01")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -91,6 +94,46 @@ def query(name: str, sql: str | None = None):
 # --- sources and sinks ---
 
 
+@query("a01_read_tagged_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN '2020' ELSE '2021' END AS source_year_label FROM orders")
+def _(t):
+    root = S.scratch_dir(t.spark, "tagged")
+    for label, rest in (("2020", 0), ("2021", 1)):
+        t.raw("orders").where(F.col("o_orderkey") % 2 == rest).select("o_orderkey", "o_orderpriority").write.option("header", "true").csv(f"{root}/{label}")
+        S.rename_parts(t.spark, f"{root}/{label}", label)
+    return S.read_tagged_csv(t.spark, f"{root}/*/*__*.csv", ["o_orderkey", "o_orderpriority"], "o_orderkey").drop("source_file")
+
+
+@query("a02_read_headerless_extracts", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END AS product_status_extract FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def _(t):
+    root = S.scratch_dir(t.spark, "extracts")
+    for suffix, status in (("_f", "F"), ("_o", "O")):
+        t.raw("orders").where(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderpriority").write.option("emptyValue", "").csv(f"{root}/orders{suffix}.txt")
+    return S.read_headerless_extracts(t.spark, root, "orders", ["o_orderkey", "o_orderpriority"], {"_f": "filled", "_none": "missing", "_o": "open"})
+
+
+@query("a04_read_latest_json", "SELECT n_nationkey, n_name FROM nation")
+def _(t):
+    root, rows = S.scratch_dir(t.spark, "snapshots"), t.raw("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    for day, df in (("2020-01-01", rows.limit(3)), ("2020-02-01", rows)):  # one document each, of at most 25 nations
+        df.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results"))).alias("value")).coalesce(1).write.text(f"{root}/snapshot-{day}.json")
+    return S.read_latest_json(t.spark, f"{root}/snapshot-*.json", rows.schema)
+
+
+@query("a07_write_table", "SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
+def _(t):
+    path, df = S.scratch_dir(t.spark, "table"), t.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    S.write_table(df.limit(1), path)
+    S.write_table(df, path, ["o_orderstatus"])
+    return S.read_panel(t.spark, path, df.columns)
+
+
+@query("a10_write_metrics", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    path = S.scratch_dir(t.spark, "metrics")
+    S.write_metrics(t.raw("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), path)
+    return t.spark.read.schema("o_orderpriority string, n long").option("header", "true").csv(path)
+
+
 @query("a03_drop_by_suffix", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(t):
     return C.drop_by_suffix(t.raw("orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("priority_f")), "_f")
@@ -509,7 +552,7 @@ def _(t):
 
 @query("e04_tag_strata", SCORED + ", tr AS (SELECT DISTINCT entity FROM short WHERE in_event = 0 AND obs BETWEEN DATE '1996-01-01' AND DATE '1996-06-01'), tg AS (SELECT s.*, unnest(['overall', CASE WHEN events_all > 0 THEN 'warm' ELSE 'cold' END, CASE WHEN tr.entity IS NOT NULL THEN 'seen' ELSE 'unseen' END, CASE WHEN owner IN ('Brand#11', 'Brand#22') THEN 'class_' || owner ELSE 'class_other' END]) AS stratum FROM scored s LEFT JOIN tr ON s.entity = tr.entity) SELECT stratum, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM tg GROUP BY 1")
 def _(t):
-    early = P.exclude_and_split(P.labelled_spine(t), {"early": ("1996-01-01", "1996-06-01")})
+    early = P.exclude_and_split(P.labelled_spine(t, *EARLY), {"early": EARLY})
     return R.tag_strata(P.scored(t), early, "events_all", "owner", ["Brand#11", "Brand#22"]).groupBy("stratum").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
 
 
@@ -545,7 +588,7 @@ CLASSES = ["Brand#11", "Brand#22", "Brand#33"]
 
 @query("e09_metrics_by_stratum", SCORED + ", tr AS (SELECT DISTINCT entity FROM short WHERE in_event = 0 AND obs BETWEEN DATE '1996-01-01' AND DATE '1996-06-01'), tg AS (SELECT s.*, s.entity * 1000000 + year(obs) * 100 + month(obs) AS tie, unnest(['overall', CASE WHEN events_all > 0 THEN 'warm' ELSE 'cold' END, CASE WHEN tr.entity IS NOT NULL THEN 'seen' ELSE 'unseen' END, CASE WHEN owner IN ('Brand#11', 'Brand#22', 'Brand#33') THEN 'class_' || owner ELSE 'class_other' END]) AS stratum FROM scored s LEFT JOIN tr ON s.entity = tr.entity), tt AS (SELECT stratum, label, score, tie AS entity FROM tg), " + CURVES.format(k="stratum", t="tt", tie="") + METRICS.format(k="stratum"))
 def _(t):
-    early = P.exclude_and_split(P.labelled_spine(t), {"early": ("1996-01-01", "1996-06-01")})
+    early = P.exclude_and_split(P.labelled_spine(t, *EARLY), {"early": EARLY})
     df = R.tag_strata(P.scored(t), early, "events_all", "owner", CLASSES)
     df = df.withColumn("entity", F.col("entity") * 1000000 + F.year("obs") * 100 + F.month("obs"))
     return _rounded(R.compute_metrics(df, ["stratum"], [10, 50]))
@@ -785,6 +828,9 @@ def _(t):
 
 # --- models (no SQL form) ---
 
+#: Rounds at most, and rounds without a better area before boosting stops; fewer than the library's own, to end in minutes.
+BOOST = (120, 15)
+
 
 @query("e01_e02_logistic")
 def _(t):
@@ -796,7 +842,7 @@ def _(t):
 @query("e03_boosted")
 def _(t):
     df = P.exclude_and_split(P.build_panel(t))
-    return M.predict(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'")), df.where("split = 'test'")).select("obs", "entity", "label", "score")
+    return M.predict(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df.where("split = 'test'")).select("obs", "entity", "label", "score")
 
 
 @query("e16_sign_check")
@@ -808,4 +854,4 @@ def _(t):
 @query("e18_feature_importance")
 def _(t):
     df = P.exclude_and_split(P.build_panel(t))
-    return M.feature_importance(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'")), df)
+    return M.feature_importance(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df)

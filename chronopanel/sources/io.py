@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names; under the warehouse in a session on one machine without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def rename_parts(spark: SparkSession, directory: str, prefix: str) -> None:
+    """Names the data files of a written folder ``<prefix>__<number>.csv``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for i, found in enumerate(_list(spark, f"{directory}/part-*")):
+        old = path(found)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, path(old.getParent(), f"{prefix}__{i}.csv"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -51,3 +51,26 @@ def test_mix_and_packing(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, D).count() == stages["packing"].count()
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES)
+def test_stages_on_odd_rows_and_no_rows(spark, name, stage):
+    """Nulls in any column, empty and very long texts, repeated rows and columns of clashing names."""
+    text = "\n".join(" ".join(f"word{i * j % 97} of{j}" for j in range(1, 9)) for i in range(1, 12))
+    rows = [(1, text, "en", "a", len(text), 1, 2, 3), (1, text, "en", "a", len(text), 1, 2, 3), (None, text + " tail", None, None, None, 4, 5, 6), (2, None, "en", "a", None, None, None, None), (3, "", None, "b", 0, 7, 8, 9)]
+    rows += [(4, " ".join(f"w{i}x{i % 7}" for i in range(150_000)), "de", "b", 5, 1, 1, 1), (2**53 + 1, text.replace("of3", "on3"), "en", "c", 1, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _d long, x0 long, row long")
+    out = stage(spark, df, D)
+    found = out.collect()
+    ids = {r.doc_id for r in found}
+    if name == "packing":
+        assert {r[0] for r in rows} == ids and len({(r.sequence_id, r.offset) for r in found}) == len(found)
+    else:
+        assert out.columns == df.columns and ids <= {r[0] for r in rows}
+        assert 4 in ids or name not in ("line_dedup", "near_dup")
+        own = {(r[5], r[6], r[7]) for r in rows}
+        assert all((r["_d"], r["x0"], r["row"]) in own for r in found)
+    assert name not in ("line_dedup",) or len(found) == len(rows)
+    assert name != "near_dup" or sum(r.doc_id == 1 for r in found) <= 1
+    empty = stage(spark, df.where("false"), D)
+    assert empty.columns == out.columns and empty.count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .windows import average_rank
 
 
@@ -144,8 +145,8 @@ def relative_lift(summary: DataFrame, k: int, ranker: str, base: str) -> DataFra
 
 def _edges(df: DataFrame, bins: int) -> DataFrame:
     """One row: distinct ascending quantiles of the score."""
-    points = ", ".join(repr(i / bins) for i in range(bins + 1))
-    return df.agg(F.array_sort(F.array_distinct(F.expr(f"percentile(score, array({points}))"))).alias("_edges"))
+    points = {f"_e{i}": i / bins for i in range(bins + 1)}
+    return quantiles(df, [], "score", points).select(F.array_sort(F.array_distinct(F.array(*points))).alias("_edges"))
 
 
 def score_bins(df: DataFrame, bins: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import anti, overlap_pairs
+from ..operators.quantiles import quantiles
 from ..operators.windows import concentration
 
 
@@ -49,8 +50,8 @@ def per_month(events: DataFrame, date: str = "start") -> DataFrame:
 
 
 def lag_percentiles(df: DataFrame, lag: str) -> DataFrame:
-    """Exact percentiles; for very many distinct lags use ``approx_percentile`` instead."""
-    return df.agg(F.count(lag).alias("n"), F.round(F.avg(lag), 6).alias("mean"), F.min(lag).alias("least"), F.max(lag).alias("most"), F.expr(f"percentile({lag}, 0.5)").alias("p50"), F.expr(f"percentile({lag}, 0.95)").alias("p95"), F.count_if(F.col(lag) < 0).alias("negative"))
+    sums = df.agg(F.count(lag).alias("n"), F.round(F.avg(lag), 6).alias("mean"), F.min(lag).alias("least"), F.max(lag).alias("most"), F.count_if(F.col(lag) < 0).alias("negative"))
+    return sums.crossJoin(quantiles(df, [], lag, {"p50": 0.5, "p95": 0.95}))  # one row each
 
 
 def late_share(df: DataFrame, date: str, lag: str, limit: int) -> DataFrame:
@@ -93,8 +94,8 @@ def date_patterns(events: DataFrame, today: str) -> DataFrame:
 
 def lifetime_distribution(events: DataFrame) -> DataFrame:
     per = events.groupBy("entity").agg(F.countDistinct("event_id").alias("n"))
-    q = lambda p: F.expr(f"percentile(n, {p})").alias(f"p{int(p * 100)}")
-    return per.agg(F.count("*").alias("entities"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), q(0.25), q(0.5), q(0.75), q(0.95), F.max("n").alias("most"))
+    sums = per.agg(F.count("*").alias("entities"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return sums.crossJoin(quantiles(per, [], "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}))  # one row each
 
 
 def label_crosstab(panel: DataFrame) -> DataFrame:
@@ -112,7 +113,8 @@ def extremes(rates: DataFrame, k: int) -> DataFrame:
 
 def positives_per_entity(panel: DataFrame) -> DataFrame:
     per = panel.groupBy("entity").agg(F.sum("label").cast("bigint").alias("n"))
-    return per.agg(F.count("*").alias("entities"), F.count_if(F.col("n") == 0).alias("without"), F.round(F.avg("n"), 6).alias("mean"), F.expr("percentile(n, 0.5)").alias("p50"), F.expr("percentile(n, 0.95)").alias("p95"), F.max("n").alias("most"))
+    sums = per.agg(F.count("*").alias("entities"), F.count_if(F.col("n") == 0).alias("without"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+    return sums.crossJoin(quantiles(per, [], "n", {"p50": 0.5, "p95": 0.95}))  # one row each
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:

@@ -17,6 +17,7 @@ from .operators import joins as J
 from .operators import quality as Q
 from .operators import ranking as R
 from .operators import windows as W
+from .operators.quantiles import quantiles
 from .plans import audit as A
 from .plans import models as M
 from .plans import panel as P
@@ -318,7 +319,7 @@ def _(t):
 
 @query("g14_percentiles", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1")
 def _(t):
-    return t.raw("lineitem").groupBy("l_returnflag").agg(F.expr("percentile(l_quantity, 0.5)").alias("p50"), F.expr("percentile(l_quantity, 0.95)").alias("p95"))
+    return quantiles(t.raw("lineitem"), ["l_returnflag"], "l_quantity", {"p50": 0.5, "p95": 0.95})
 
 
 @query("g15_monthly_profile", "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS n, count(*) FILTER (WHERE l_quantity > 40) AS large FROM lineitem GROUP BY 1")

@@ -82,3 +82,23 @@ def test_jitter_is_small_and_stable(spark):
     a = df.select(R.jitter("entity", "obs").alias("j")).collect()
     b = df.repartition(5).orderBy("entity").select(R.jitter("entity", "obs").alias("j")).collect()
     assert a == b and all(0 <= r.j < 1e-9 for r in a) and len({r.j for r in a}) > 40
+
+
+def test_quantiles_equal_the_interpolated_ones(spark):
+    import random
+
+    import numpy as np
+
+    from chronopanel.operators.quantiles import quantiles
+
+    rng = random.Random(4)
+    values = {"a": [rng.choice([0.0, -1.5, 2.25, 3e9, -4e-9, rng.gauss(0, 3)]) for _ in range(301)], None: [rng.randint(-3, 3) / 2 for _ in range(40)], "one": [7.5], "none": []}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("none", None), ("a", None)]
+    df, points = spark.createDataFrame(rows, "k string, v double"), {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in quantiles(df, ["k"], "v", points).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        for name, p in points.items():
+            assert got[k][name] is None if not vs else abs(got[k][name] - np.quantile(vs, p)) <= 1e-9 * max(1, abs(got[k][name]))
+    assert quantiles(df.where("v is null"), [], "v", points).collect() == [(None,) * 5]
+    assert abs(quantiles(df, [], "v", points).first().p50 - np.median([v for vs in values.values() for v in vs])) < 1e-12

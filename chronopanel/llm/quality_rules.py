@@ -21,6 +21,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; percent of words in repeated windows
 #: Dimensions are stored as whole numbers of 1 / SCALE.
 SCALE = 1000
+#: A histogram of statistics is cut into ranges of 2 ** RANGE_BITS bins.
+RANGE_BITS = 6
 #: Least standard deviation of each dimension: most texts have no symbol and no repeat at all. Each is so small that
 #: its dimension can reject a row by itself: beside texts without any, a fifth of the words in repeated windows is too
 #: much, and so is a repeated line for each 24 words.
@@ -132,10 +134,23 @@ def _half(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
     return bins.where(F.col("_to") >= share * F.col("_all")).groupBy(*keys).agg(F.min("bin").alias("limit"))
 
 
+def _half_of_many(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """The same for histograms of many bins: ranges of bins are summed first, and a window holds a group's ranges or the bins of one of them."""
+    bins = measured.groupBy(*keys, "bin").agg(F.count("*").alias("n")).withColumn("range", F.shiftright("bin", RANGE_BITS))
+    ranges = bins.groupBy(*keys, "range").agg(F.sum("n").alias("_n"))
+    up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.withColumns({"_to": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    ranges = ranges.where((F.col("_to") >= share * F.col("_all")) & (F.col("_to") - F.col("_n") < share * F.col("_all"))).select(*keys, "range", (F.col("_to") - F.col("_n")).alias("_base"), "_all")
+    inside = bins.join(ranges, [*keys, "range"])
+    up = Window.partitionBy(*keys, "range").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("_to", F.col("_base") + F.sum("n").over(up))
+    return inside.where(F.col("_to") >= share * F.col("_all")).groupBy(*keys).agg(F.min("bin").alias("limit"))
+
+
 def _starts(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
     """(keys, start, mu*, l*) of the starts, each with its number."""
     values = rows.select(*keys, F.posexplode(F.array(*[f"x{i}" for i in range(d)])).alias("dim", "bin"))
-    middle = _half(values, [*keys, "dim"], 0.5)
+    middle = _half_of_many(values, [*keys, "dim"], 0.5)
     middle = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("dim") == i, F.col("limit"))).cast("double").alias(f"mu{i}") for i in range(d)])
     names = [*keys, "start", *[f"mu{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
     wide = [lambda i: 1.0, lambda i: 10.0 if i % 2 else 1.0, lambda i: 1.0 if i % 2 else 10.0]

@@ -73,6 +73,18 @@ def test_outliers_equal_numpy(spark):
         assert abs(got[k].distance - d) <= 1e-3 * max(1, d) and got[k].kept == (got[k].distance <= R.CUT)
 
 
+def test_halves_of_short_and_long_histograms_agree(spark):
+    rng = random.Random(8)
+    rows = [(g, int(rng.gauss(0, width))) for g, width in ((1, 2), (2, 900), (3, 0)) for _ in range(151)] + [(4, -7)]
+    rows += [(5, 64 * k) for k in range(4)] + [(6, 5), (6, 700)]
+    df = spark.createDataFrame(rows, "g int, bin long")
+    for share in (0.5, 0.25, 1.0):
+        a, b = ({r.g: r.limit for r in f(df, ["g"], share).collect()} for f in (R._half, R._half_of_many))
+        want = {g: sorted(x for k, x in rows if k == g) for g in {g for g, _ in rows}}
+        assert a == b == {g: xs[int(np.ceil(share * len(xs))) - 1] for g, xs in want.items()}
+    assert R._half_of_many(df.limit(0), ["g"], 0.5).count() == 0
+
+
 def test_no_column_of_the_user_is_lost(spark):
     names = ["x0", "mu0", "l00", "g_lang", "g_source", "_x0", "_words", "_twice", "__x0", "_n"]
     rows = [(i, f"some {i} words " * 30, "en", "s", *range(10)) for i in range(5)]

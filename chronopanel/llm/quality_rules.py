@@ -86,11 +86,16 @@ def dimensions() -> list[Column]:
     return [F.round(x * SCALE).cast("long") for x in raw]
 
 
-def _moments(rows: DataFrame, keys: list[str], d: int, kept: Column) -> DataFrame:
-    """Exact sums of the dimensions and of their products over the kept rows of each group."""
-    sums = [F.sum(F.when(kept, F.col(f"x{i}"))).alias(f"s{i}") for i in range(d)]
-    products = [F.sum(F.when(kept, (F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)"))).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.sum(F.when(kept, F.lit(1)).otherwise(F.lit(0))).alias("m"), *sums, *products)
+def _sums(d: int) -> list[str]:
+    """Columns of a group's sums: rows, dimensions, products."""
+    return ["m", *[f"s{i}" for i in range(d)], *[f"p{i}{j}" for i in range(d) for j in range(i + 1)]]
+
+
+def _moments(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """Number of rows and exact sums of the dimensions and of their products for each group."""
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(d)]
+    products = [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("m"), *sums, *products)
 
 
 def _factor(moments: DataFrame, d: int) -> DataFrame:
@@ -122,20 +127,21 @@ def _distance(d: int, p: str = "") -> Column:
     return total
 
 
-def _half(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Rows -> (keys, limit): the least bin below or in which ``share`` of the group's rows are.
+def _half(measured: DataFrame, keys: list[str], d: int, share: float) -> DataFrame:
+    """Rows with their bin of distance -> sums over the least bins in which ``share`` of the group's rows are.
 
-    Counts of bins stand in for a sort, so that a group of any size needs only
+    Sums for each bin stand in for a sort, so that rows are read once and a group of any size needs only
     its histogram; bins are fixed-point numbers of a bounded range, so that is of bounded length.
     """
-    bins = measured.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    bins = _moments(measured, [*keys, "bin"], d)
     up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumns({"_to": F.sum("n").over(up), "_all": F.sum("n").over(Window.partitionBy(*keys))})
-    return bins.where(F.col("_to") >= share * F.col("_all")).groupBy(*keys).agg(F.min("bin").alias("limit"))
+    bins = bins.withColumns({"_to": F.sum("m").over(up), "_all": F.sum("m").over(Window.partitionBy(*keys))})
+    inside = bins.where(F.col("_to") - F.col("m") < share * F.col("_all"))
+    return inside.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _sums(d)])
 
 
 def _half_of_many(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """The same for histograms of many bins: ranges of bins are summed first, and a window holds a group's ranges or the bins of one of them."""
+    """Rows -> (keys, limit): the least bin up to which ``share`` of the group's rows are; of many bins, ranges are summed first, and a window holds a group's ranges or the bins of one of them."""
     bins = measured.groupBy(*keys, "bin").agg(F.count("*").alias("n")).withColumn("range", F.shiftright("bin", RANGE_BITS))
     ranges = bins.groupBy(*keys, "range").agg(F.sum("n").alias("_n"))
     up = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,29 +161,27 @@ def _starts(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
     names = [*keys, "start", *[f"mu{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
     wide = [lambda i: 1.0, lambda i: 10.0 if i % 2 else 1.0, lambda i: 1.0 if i % 2 else 10.0]
     flat = [middle.withColumns({"start": F.lit(k)} | {f"l{i}{j}": F.lit(FLOORS[i] * SCALE * w(i) if i == j else 0.0) for i in range(d) for j in range(i + 1)}).select(*names) for k, w in enumerate(wide)]
-    whole = _factor(_moments(rows, keys, d, F.lit(True)), d).withColumn("start", F.lit(len(wide))).select(*names)
+    whole = _factor(_moments(rows, keys, d), d).withColumn("start", F.lit(len(wide))).select(*names)
     return flat[0].unionByName(flat[1]).unionByName(flat[2]).unionByName(whole)
 
 
 def mcd(rows: DataFrame, keys: list[str], d: int, steps: int = STEPS, share: float = 0.5) -> DataFrame:
     """Estimates (keys, mu*, l*) of each group of rows with dimensions x0..; keys hold no null.
 
-    Steps end when every half has the exact sums of the one before, or after
+    Steps end when every half has the sums of the one before, by their hash, or after
     ``steps``. The determinant, of the covariance with its floors, is the square of the product
     of the factor's diagonal; of equal ones the first start's estimate is kept.
     """
     names = [*[f"mu{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
-    sums = ["m", *[f"s{i}" for i in range(d)], *[f"p{i}{j}" for i in range(d) for j in range(i + 1)]]
-    own = [*keys, "start"]
-    estimate, last = stage_table(_starts(rows, keys, d), "mcd-estimate"), None
+    own = [*keys, "start", "now"]
+    estimate = stage_table(_starts(rows, keys, d).withColumn("now", F.lit(0).cast("long")), "mcd-estimate")
     for _ in range(steps):
-        measured = rows.join(estimate.select(*own, *names), keys)
+        measured = rows.join(estimate.select(*own, *names), keys)  # a row for each group and start, as small as its file says
         measured = measured.withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * 16).cast("int")).select(*own, *[f"x{i}" for i in range(d)], "bin")
-        limit = stage_table(_half(measured, own, share), "mcd-limit")  # a row for each group and start, as small as its file says
-        estimate = stage_table(_factor(_moments(measured.join(limit, own), own, d, F.col("bin") <= F.col("limit")), d), "mcd-estimate")
-        if last is not None and estimate.join(last, [*own, *sums], "left_anti").isEmpty():
+        half = _factor(_half(measured, own, d, share), d)
+        estimate = stage_table(half.withColumnRenamed("now", "before").withColumn("now", F.xxhash64(*_sums(d))), "mcd-estimate")
+        if estimate.where("now != before").isEmpty():
             break
-        last = estimate.select(*own, *sums)
     log_det = sum((F.log(f"l{i}{i}") for i in range(1, d)), F.log("l00"))
     best = estimate.groupBy(*keys).agg(F.min(F.struct(F.round(log_det, 9).alias("log_det"), "start", *names)).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{n}").alias(n) for n in names])

@@ -79,9 +79,12 @@ def test_halves_of_short_and_long_histograms_agree(spark):
     rows += [(5, 64 * k) for k in range(4)] + [(6, 5), (6, 700)]
     df = spark.createDataFrame(rows, "g int, bin long")
     for share in (0.5, 0.25, 1.0):
-        a, b = ({r.g: r.limit for r in f(df, ["g"], share).collect()} for f in (R._half, R._half_of_many))
+        sums = {r.g: (r.m, r.s0, int(r.p00)) for r in R._half(df.withColumn("x0", F.col("bin")), ["g"], 1, share).collect()}
+        limits = {r.g: r.limit for r in R._half_of_many(df, ["g"], share).collect()}
         want = {g: sorted(x for k, x in rows if k == g) for g in {g for g, _ in rows}}
-        assert a == b == {g: xs[int(np.ceil(share * len(xs))) - 1] for g, xs in want.items()}
+        assert limits == {g: xs[int(np.ceil(share * len(xs))) - 1] for g, xs in want.items()}
+        halves = {g: [x for x in xs if x <= limits[g]] for g, xs in want.items()}
+        assert sums == {g: (len(xs), sum(xs), sum(x * x for x in xs)) for g, xs in halves.items()}
     assert R._half_of_many(df.limit(0), ["g"], 0.5).count() == 0
 
 

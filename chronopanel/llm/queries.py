@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, token_counts, warc
+from . import bpe, filter_audit, hard_negatives, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, token_counts, warc
 from .common import stage_table, with_text_ids
 
 
@@ -87,7 +87,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "class_id", "class_h1", "class_h2", "n_in_class", "exact_copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_line_dedup, op4_packing, op5_mixing, op6_quality_model, op7_token_counts, op8_quality_rules, op9_media, op10_near_dup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_line_dedup, op4_packing, op5_mixing, op6_quality_model, op7_token_counts, op8_quality_rules, op9_media, op10_near_dup, op11_filter_audit, op12_bpe, op13_hard_negatives)}
 
 ORACLES = {
     "op1_warc": """
@@ -130,4 +147,25 @@ l AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, y.source_size, y.tar
 c AS (SELECT row, id, pos + k * source_size AS d_from, least(pos + k * source_size + size, words) AS d_to FROM l, (VALUES (0), (1), (2)) e(k) WHERE size > 0 AND pos + k * source_size < words),
 o AS (SELECT row, CAST(sum(least(d_to, b_to) - greatest(d_from, b_from)) AS BIGINT) AS taken, CAST(min(CASE WHEN b_from <= d_from THEN slot END) AS BIGINT) AS first_slot FROM c JOIN blocks ON c.id = blocks.id AND b_from < d_to AND b_to > d_from GROUP BY row)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM l LEFT JOIN o USING (row)""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END) || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > first THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY 1, 2),
+abc AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM abc a JOIN abc b ON a.x <> b.x JOIN abc c ON c.x NOT IN (a.x, b.x) JOIN abc d ON d.x NOT IN (a.x, b.x, c.x) JOIN abc e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+f AS (SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS fail, fails <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone, fails = letter AS alone FROM cells, steps),
+s AS (SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (WHERE NOT fail AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE fail AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM f GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, a.label AS al, b.id AS b, b.label AS bl, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT a, al, b, score FROM s WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND s.bl <> s.al AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5""",
 }

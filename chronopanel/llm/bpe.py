@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Fragments that a worker remembers, and bytes of the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 18, 64
+#: Rows of which a worker holds the results.
+SLICE = 128
 #: Endings that the splitting rule takes as words of their own.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Code points that some Unicode version or library counts as white space.
@@ -124,20 +128,31 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def _slices(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A few rows at a time, so that a worker never holds a whole batch's results."""
+    for part in parts:
+        for i in range(0, len(part), SLICE):
+            yield part.iloc[i : i + SLICE]
+
+
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """All rows with ``out``, the ids (array<int>) of each whole text; special strings in a text become their ids.
 
-    Null and empty texts have no ids. Rows are independent and may repeat, other
-    columns stay as they are; a column that has the name of ``out`` is replaced.
+    With ``decoded``, also that column: what the ids stand for, made in the same pass. Null and
+    empty texts have no ids. Rows are independent and may repeat, other columns
+    stay as they are; columns that have the new ones' names are replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, text string" if decoded else "ids array<int>")
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for part in parts:
-            yield pd.Series([own.encode(t or "") for t in part], dtype=object)
+        for part in _slices(parts):
+            got = [own.encode(t or "") for t in part]
+            yield pd.DataFrame({"ids": got} | ({"text": [own.decode(x.tolist()) for x in got]} if decoded else {}), dtype=object)
 
-    return df.withColumn(out, ids(F.col(f"`{text_col}`")))
+    new, = unused(df.columns, "encoded")
+    df = df.withColumn(new, ids(F.col(f"`{text_col}`")))
+    return df.withColumns({out: F.col(new)["ids"]} | ({decoded: F.col(new)["text"]} if decoded else {})).drop(new)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -149,7 +164,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     @F.pandas_udf("string")
     def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path)
-        for part in parts:
+        for part in _slices(parts):
             yield pd.Series([own.decode([] if x is None else x.tolist()) for x in part], dtype=object)
 
     return df.withColumn(out, texts(F.col(f"`{ids_col}`")))

@@ -97,10 +97,11 @@ def forward_label(spine: DataFrame, events: DataFrame, lo: str, hi: str, horizon
 def id_deltas(events: DataFrame, keys: list[str], months: list[int], name: str, start: str = "start", distinct: str = "event_id", ever: str | None = None) -> DataFrame:
     """(keys, obs, {name}_{n}m ...): changes of the number of distinct ids that started in [obs - n months, obs), and ``ever`` those of all time.
 
-    Starts of one id count up to the month in which its next start takes over, so that its spans are apart.
+    Starts of one id count up to the month in which its next start takes over, so that its spans are apart; a start that
+    repeats counts for no month but in its last row.
     """
     w = Window.partitionBy(*keys, distinct).orderBy(start)
-    rows = events.where(F.col(distinct).isNotNull()).select(*keys, distinct, start).distinct()
+    rows = events.where(F.col(distinct).isNotNull()).select(*keys, distinct, start)
     rows = rows.withColumns({"_next": F.lead(start).over(w), "_nth": F.row_number().over(w)})
     until = F.add_months(next_month(F.col("_next")), -1)
     spans = {f"{name}_{n}m": (window_span(n, start)[0], F.least(window_span(n, start)[1], until)) for n in months}
@@ -189,15 +190,18 @@ def months_of(spark, lo: str, hi: str) -> DataFrame:
     return spark.sql(f"select explode(sequence(date'{lo}', date'{hi}', interval 1 month)) as obs")
 
 
-def _standing(entities: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
-    """(keys, obs, out): entities whose first date isn't after obs; months before the first entity are left out."""
+def _begun(entities: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
+    """(keys, obs, out): entities of the key that begin to exist in each month, those from before in the first one."""
     known = entities.where("first_date is not null")
     month = F.trunc("first_date", "month")
     begins = F.greatest(F.when(month == F.col("first_date"), month).otherwise(F.add_months(month, 1)), F.lit(lo).cast("date"))
-    deltas = known.groupBy(*keys, begins.alias("obs")).agg(F.countDistinct("entity").alias("_d")).where(F.col("obs") <= F.lit(hi).cast("date"))
-    all_keys = known.select(*keys).distinct()
-    grid = all_keys.withColumn("obs", F.explode(F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 month"))))
-    return running(grid, deltas, keys, {out: F.sum("_d")}).where(F.col(out).isNotNull())
+    return known.select(*keys, "entity", begins.alias("obs")).groupBy(*keys, "obs").agg(F.countDistinct("entity").alias(out)).where(F.col("obs") <= F.lit(hi).cast("date"))
+
+
+def _standing(entities: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
+    """(keys, obs, out): entities whose first date isn't after obs; months before the first entity are left out."""
+    changes = _begun(entities, keys, lo, hi, out)
+    return running(key_grid(changes, keys, lo, hi), changes, keys, {out: F.sum(out)}, ["obs"]).where(F.col(out).isNotNull())
 
 
 def owner_portfolio(entities: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -211,9 +215,15 @@ def guarded(n: Column, d: Column) -> Column:
 
 
 def owner_event_rate(entities: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(owner, obs): portfolio, events of the owner in 12 and 3 months, their rates and the difference of these."""
-    counts = windowed_counts(events.where("owner is not null"), ["owner"], lo, hi, [12, 3], "owner_events")
-    df = owner_portfolio(entities, lo, hi).join(counts, ["owner", "obs"], "left").fillna(0, ["owner_events_12m", "owner_events_3m"])
+    """(owner, obs): portfolio, events of the owner in 12 and 3 months, their rates and the difference of these.
+
+    Entities and events become changes of one list by owner and month, under one running window.
+    """
+    begun = _begun(entities.where("owner is not null"), ["owner"], lo, hi, "portfolio")
+    counts = id_deltas(events.where("owner is not null and start is not null"), ["owner"], [12, 3], "owner_events")
+    names = ["portfolio", "owner_events_12m", "owner_events_3m"]
+    changes = begun.unionByName(counts, allowMissingColumns=True)
+    df = running(key_grid(begun, ["owner"], lo, hi), changes, ["owner"], {n: F.sum(n) for n in names}, ["obs"]).where("portfolio is not null").fillna(0, names)
     df = df.withColumns({"owner_rate_12m": guarded(F.col("owner_events_12m"), F.col("portfolio")), "owner_rate_3m": guarded(F.col("owner_events_3m"), F.col("portfolio"))})
     return df.withColumn("owner_rate_delta", F.col("owner_rate_3m") - F.col("owner_rate_12m"))
 
@@ -286,20 +296,37 @@ def entity_age_years(first: Column, obs: Column) -> Column:
     return F.datediff(obs, first).cast("double") / F.lit(AGE_DAYS)
 
 
+#: A month before all others, in which a token that has any event counts as matched.
+FIRST_MONTH = "0001-01-01"
+
+
+def token_changes(foreign: DataFrame) -> DataFrame:
+    """(token, obs, _on, _new, _ever): +1 in a month from which a token has an event on (or one begun in 12 months), -1 where that ends.
+
+    The union of a token's spans: its running counts over the months in which they change, of which only
+    the steps from none to some and back are kept.
+    """
+    # begun before obs and not ended before it: an end on obs is still on
+    still = foreign.where("token is not null").select("token", F.date_add("start", 1).alias("start"), F.date_add("end", 1).alias("end"), F.col("start").alias("_s"))
+    changes = deltas(still, ["token"], {"_on": active_span(), "_new": window_span(12, "_s")}, {"_ever_max": (F.lit(FIRST_MONTH).cast("date"), F.lit(1))})
+    w = Window.partitionBy("token").orderBy("obs")  # a row for each month at most
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = {c: (F.coalesce(F.sum(c).over(upto), F.lit(0)) > 0).cast("int") for c in ("_on", "_new")}
+    steps = changes.select("token", "obs", "_ever_max", *[x.alias(c) for c, x in some.items()])
+    steps = steps.select("token", "obs", F.coalesce("_ever_max", F.lit(0)).alias("_ever"), *[(F.col(c) - F.lag(c, 1, 0).over(w)).alias(c) for c in some])
+    return steps.where("_ever > 0 or _on <> 0 or _new <> 0")
+
+
 def token_bridge_signals(spine: DataFrame, entity_tokens: DataFrame, foreign: DataFrame, lo: str, hi: str) -> DataFrame:
     """(entity, obs): ever matched, distinct tokens with a foreign event on, distinct tokens with one begun in 12 months.
 
-    Foreign events are reduced to distinct (token, month) before they meet the bridge.
+    Only the months in which a token's signals begin or end go through the bridge, not each month of them.
     """
-    bridge = entity_tokens.select("entity", "token").distinct()
-    ever = bridge.join(foreign.select("token").distinct(), "token", "left_semi").select("entity").distinct().withColumn("_m", F.lit(1))
-    # begun before obs and not ended before it: an end on obs is still on
-    still = foreign.select("token", F.date_add("start", 1).alias("start"), F.date_add("end", 1).alias("end"), F.col("start").alias("_s"))
-    changes = deltas(still, ["token"], {"_on": active_span(), "_new": window_span(12, "_s")})
-    months = running(key_grid(changes, ["token"], lo, hi), changes, ["token"], {"_on": F.sum("_on"), "_new": F.sum("_new")}, ["obs"]).where("_on > 0 or _new > 0")
-    hits = bridge.join(months, "token").groupBy("entity", "obs").agg(F.count_if(F.col("_on") > 0).alias("foreign_active"), F.count_if(F.col("_new") > 0).alias("foreign_12m"))
-    out = spine.select("entity", "obs").join(ever, "entity", "left").join(hits, ["entity", "obs"], "left")
-    return out.select("entity", "obs", F.coalesce("_m", F.lit(0)).alias("foreign_match"), F.coalesce("foreign_active", F.lit(0)).alias("foreign_active"), F.coalesce("foreign_12m", F.lit(0)).alias("foreign_12m"))
+    bridge = entity_tokens.where("entity is not null").select("entity", "token").distinct()
+    changes = bridge.join(token_changes(foreign).where(F.col("obs") <= F.lit(hi).cast("date")), "token").groupBy("entity", "obs").agg(*[F.sum(c).alias(c) for c in ("_ever", "_on", "_new")])
+    out = running(spine, changes, ["entity"], {c: F.sum(c) for c in ("_ever", "_on", "_new")}, ["obs"])
+    some = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("entity", "obs", (some("_ever") > 0).cast("int").alias("foreign_match"), some("_on").alias("foreign_active"), some("_new").alias("foreign_12m"))
 
 
 def event_measures(events: DataFrame, anticipated: str, actual: str, estimated_end: str, actual_end: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
 from .quantiles import quantiles
 from .windows import average_rank
 
@@ -46,27 +47,39 @@ def with_precision(sizes: DataFrame, hits: DataFrame, keys: list[str], ks: list[
     return sizes.join(hits, keys).withColumns({f"p_at_{k}": F.when(both & (F.col("n") >= k), F.col(f"hits_{k}") / F.lit(float(k))) for k in ks})
 
 
-def _by_score(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and positives of each distinct score: what every curve needs, and no more rows than scores."""
-    return df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"))
+def _curve(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Of each distinct score its rows and positives (_n, _p), those up to and with it (_n_to, _p_to) and the key's (.._total).
+
+    The sums run by ranges of (key, score): a stratum of all rows, each with a score of its own, is spread over all tasks.
+    """
+    steps = df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"), *more)
+    return running_sums(steps, keys, ["score"], {"_n_to": F.col("_n"), "_p_to": F.col("_p")}, totals=True)
+
+
+#: Of the rows and positives of a score: negatives below each positive and half of those beside it; precision from there up.
+_BELOW = "_p * (_n_to - _p_to - (_n - _p) / 2.0D)"
+_PRECISION = "_p * (_p_to_total - _p_to + _p) / cast(_n_to_total - _n_to + _n as double)"
+
+
+def _areas() -> tuple[Column, Column]:
+    """ROC area (Mann-Whitney) and average precision over falling distinct scores of summed steps; null with one class."""
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    roc = F.when(both, F.col("_won") / (F.col("positives").cast("double") * (F.col("n") - F.col("positives"))))
+    return roc.alias("roc_auc"), F.when(both, F.col("_ap") / F.col("positives")).alias("pr_auc")
+
+
+def _summed(steps: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    return steps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum(F.expr(_BELOW)).alias("_won"), F.sum(F.expr(_PRECISION)).alias("_ap"), *more)
 
 
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Mann-Whitney statistic from mean ranks; null with one class."""
-    steps = _by_score(df, keys)
-    before = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / F.lit(2.0))
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_p")).alias("_r"), F.sum("_p").alias("_pos"), F.sum(F.col("_n") - F.col("_p")).alias("_neg"))
-    auc = (F.col("_r") - F.col("_pos") * (F.col("_pos") + 1) / F.lit(2.0)) / (F.col("_pos").cast("double") * F.col("_neg"))
-    return sums.select(*keys, F.when((F.col("_pos") > 0) & (F.col("_neg") > 0), auc).alias("roc_auc"))
+    """Mann-Whitney statistic, ties counted half; null with one class."""
+    return _summed(_curve(df, keys), keys).select(*keys, _areas()[0])
 
 
 def pr_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision: the sum of precision times the gain in recall over falling distinct scores; null with one class."""
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = _by_score(df, keys).withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum("_n").over(w)})
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_all").cast("double")).alias("_ap"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_rows"))
-    return sums.select(*keys, F.when((F.col("_pos") > 0) & (F.col("_pos") < F.col("_rows")), F.col("_ap") / F.col("_pos")).alias("pr_auc"))
+    return _summed(_curve(df, keys), keys).select(*keys, _areas()[1])
 
 
 def brier(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,19 +92,9 @@ def compute_metrics(df: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
     All but the top k comes from one pass over counts by score.
     """
     error = (F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))
-    steps = df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"), F.sum(error).alias("_e"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum("_n").over(w)})
-    # of a positive, the negatives below it and half of those beside it
-    above = F.col("_all") - F.col("_tp") - (F.col("_n") - F.col("_p")) / F.lit(2.0)
-    sums = steps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum(F.col("_p") * above).alias("_lost"), F.sum(F.col("_p") * F.col("_tp") / F.col("_all").cast("double")).alias("_ap"), F.sum("_e").alias("_err"))
-    neg = F.col("n") - F.col("positives")
-    both = (F.col("positives") > 0) & (neg > 0)
+    sums = _summed(_curve(df, keys, F.sum(error).alias("_e")), keys, F.sum("_e").alias("_err"))
     sums = with_precision(sums, top_hits(df, keys, ks), keys, ks)
-    return sums.select(
-        *keys, "n", "positives", *[f"p_at_{k}" for k in ks], (F.col("positives") / F.col("n")).alias("base_rate"),
-        F.when(both, 1 - F.col("_lost") / (F.col("positives").cast("double") * neg)).alias("roc_auc"), F.when(both, F.col("_ap") / F.col("positives")).alias("pr_auc"), (F.col("_err") / F.col("n")).alias("brier"),
-    )
+    return sums.select(*keys, "n", "positives", *[f"p_at_{k}" for k in ks], (F.col("positives") / F.col("n")).alias("base_rate"), *_areas(), (F.col("_err") / F.col("n")).alias("brier"))
 
 
 def heuristic_single(col: str, *keys: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
+
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Give an order without ties; the rest of the group is pruned before the shuffle."""
@@ -29,13 +31,14 @@ def lag_gap(df: DataFrame, keys: list[str], date: str, ties: list[str], out: str
 
 
 def average_rank(df: DataFrame, keys: list[str], score: str, out: str = "rank") -> DataFrame:
-    """Ascending rank from 1, null scores first; ties share their mean.
+    """Ascending rank from 1, null scores first, NaN last; ties share their mean.
 
-    Ranks come from counts of distinct scores, so a key of many rows is sorted by its scores alone.
+    Ranks come from counts of distinct scores under running sums by ranges of (key,
+    score), so no task sorts more than a range of a key, whether its scores tie or not.
     """
     steps = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.col(score).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 + (F.col("_n") - 1) / F.lit(2.0)).drop("_n")
+    steps = running_sums(steps, keys, [score], {"_to": F.col("_n")})
+    steps = steps.withColumn(out, F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)).drop("_n", "_to")
     names = {c: f"_r_{c}" for c in [*keys, score]}
     on = [df[c].eqNullSafe(F.col(n)) for c, n in names.items()]
     return df.join(steps.withColumnsRenamed(names), on, "left").drop(*names.values())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import anti, overlap_pairs
+from ..operators.joins import anti, overlap_counts
 from ..operators.quantiles import quantiles
 from ..operators.windows import concentration
 
@@ -29,8 +29,8 @@ def same_start(events: DataFrame) -> DataFrame:
 
 
 def overlaps(events: DataFrame) -> DataFrame:
-    """Overlapping pairs and entities that have them."""
-    return overlap_pairs(events).agg(F.count("*").alias("pairs"), F.countDistinct("entity").alias("entities"))
+    """Overlapping pairs and entities that have them, counted without making the pairs."""
+    return overlap_counts(events).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.count("*").alias("entities"))
 
 
 def missing_from_dimension(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -131,6 +131,12 @@ def tables_by_schema(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(found, "schema string, n_tables int")
 
 
+def schema_counts(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """Tables of each schema and the rows that they have in all."""
+    each = [df.agg(F.count("*").alias("n_rows")).select(F.lit(schema).alias("schema"), "n_rows") for (schema, _), df in tables.items()]
+    return reduce(DataFrame.unionByName, each).groupBy("schema").agg(F.count("*").alias("n_tables"), F.sum("n_rows").alias("n_rows"))
+
+
 def null_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Non-null values of all columns, in one pass."""
     return df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in cols])

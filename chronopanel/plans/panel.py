@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators.ranking import blend_scores, heuristic_compound, heuristic_single
+from ..operators.staging import settled
 from .proxy import HI, LO, SPLITS, Tables
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame as a reliable checkpoint: what several branches read is computed once, and reread if an executor is lost.
-
-    It goes to the context's checkpoint folder, else to the one that ``spark.checkpoint.dir`` names; a session
-    on one machine without either uses its warehouse, and a cluster session raises.
-    """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
-    return df.checkpoint()
-
-
 def labelled_spine(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
     return H.forward_label(H.entity_month_spine(t.entities(), lo, hi), t.events(), lo, hi)
 

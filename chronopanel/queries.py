@@ -19,6 +19,7 @@ from .operators import ranking as R
 from .operators import windows as W
 from .operators.quantiles import quantiles
 from .plans import audit as A
+from .plans import dimension as D
 from .plans import models as M
 from .plans import panel as P
 from .plans.proxy import HI, LO, SPLITS, Tables
@@ -104,12 +105,12 @@ def _(t):
     return S.read_tagged_csv(t.spark, f"{root}/*/*__*.csv", ["o_orderkey", "o_orderpriority"], "o_orderkey").drop("source_file")
 
 
-@query("a02_read_headerless_extracts", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END AS product_status_extract FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("a02_read_headerless_extracts", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'P' THEN 'partial' ELSE 'open' END AS product_status_extract FROM orders WHERE o_orderstatus IS NOT NULL")
 def _(t):
     root = S.scratch_dir(t.spark, "extracts")
-    for suffix, status in (("_f", "F"), ("_o", "O")):
+    for suffix, status in (("_f", "F"), ("_p", "P"), ("_o", "O")):
         t.raw("orders").where(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderpriority").write.option("emptyValue", "").csv(f"{root}/orders{suffix}.txt")
-    return S.read_headerless_extracts(t.spark, root, "orders", ["o_orderkey", "o_orderpriority"], {"_f": "filled", "_none": "missing", "_o": "open"})
+    return S.read_headerless_extracts(t.spark, root, "orders", ["o_orderkey", "o_orderpriority"], {"_f": "filled", "_p": "partial", "_none": "missing", "_o": "open"})
 
 
 @query("a04_read_latest_json", "SELECT n_nationkey, n_name FROM nation")
@@ -266,6 +267,20 @@ def _(t):
     return J.asof_join(spine, t.events().select("entity", "start")).groupBy("entity", "obs").agg(F.count("start").alias("n"))
 
 
+@query("j07_asof_inner", f"{BASE} SELECT s.entity, s.obs, count(*) AS n, min(e.start) AS first_start, max(e.start) AS last_start FROM spine s JOIN events_ e ON e.entity = s.entity AND e.start < s.obs GROUP BY 1, 2")
+def _(t):
+    spine = H.entity_month_spine(t.entities(), LO, HI).select("entity", "obs")
+    joined = J.asof_join(spine, t.events().select("entity", "start"), "inner")
+    return joined.groupBy("entity", "obs").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("start").alias("last_start"))
+
+
+@query("j07_latest_before", f"{BASE} SELECT s.entity, s.obs, e.event_id, e.start, e.status FROM spine s ASOF JOIN (SELECT * FROM events_ QUALIFY row_number() OVER (PARTITION BY entity, start ORDER BY event_id DESC) = 1) e ON s.entity = e.entity AND e.start < s.obs")
+def _(t):
+    spine = H.entity_month_spine(t.entities(), LO, HI).select("entity", "obs")
+    found = J.latest_before(spine, t.events().select("entity", "event_id", "start", "status"), ["event_id"], "inner")
+    return found.select("entity", "obs", "last.event_id", "last.start", "last.status")
+
+
 @query("j10_group_lookup", f"{EV} SELECT event_id, start, e.entity, p.grp FROM events_ e LEFT JOIN (SELECT entity, min(grp) AS grp FROM parts GROUP BY 1) p ON e.entity = p.entity")
 def _(t):
     lookup = W.dedupe_first(t.parts().select("entity", "grp"), ["entity"], [F.col("grp").asc_nulls_last()])
@@ -311,6 +326,12 @@ def _(t):
     return t.raw("part").groupBy("p_brand").agg(F.min("p_type").alias("primary_type"), F.countDistinct("p_type").alias("n_types"), F.max("p_size").alias("max_size"))
 
 
+@query("g10_one_row_of_several", "SELECT p_brand, max(p_type) AS p_type, max(p_name) AS p_name, max(p_size) AS p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY 1")
+def _(t):
+    columns = ["p_type", "p_name", "p_size", "p_retailprice"]
+    return t.raw("part").groupBy("p_brand").agg(*[F.max(c).alias(c) for c in columns])
+
+
 @query("g12_two_level", "SELECT p_type, CAST(sum(n) AS BIGINT) AS parts, count(*) AS owners FROM (SELECT p_type, p_brand, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     own = t.raw("part").groupBy("p_type", "p_brand").agg(F.countDistinct("p_partkey").alias("n"))
@@ -523,14 +544,44 @@ def _(t):
     return H.event_measures(df, "asked", "d", "planned", "stopped").select("event_id", F.col("d").alias("start"), "duration_days", "lead_days", "estimate_error_days", "suspect_dates")
 
 
-@query("o16_build_dimension", "WITH tok AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), ing AS (SELECT p_partkey, string_agg(DISTINCT w, ' + ' ORDER BY w) AS ingredients, count(DISTINCT w) AS n_ingredients FROM tok GROUP BY 1), sup AS (SELECT l_partkey, min(l_suppkey) AS primary_supplier, count(DISTINCT l_suppkey) AS n_suppliers, min(CAST(l_shipdate AS DATE)) FILTER (WHERE l_linestatus = 'F') AS first_marketed FROM lineitem GROUP BY 1), lat AS (SELECT l_partkey, l_linestatus AS current_status FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC NULLS LAST, l_orderkey * 10 + l_linenumber, l_linestatus) = 1) SELECT p.p_partkey AS entity, p_brand AS owner, ingredients, n_ingredients, primary_supplier, n_suppliers, first_marketed, current_status FROM part p LEFT JOIN ing ON p.p_partkey = ing.p_partkey LEFT JOIN sup ON p.p_partkey = sup.l_partkey LEFT JOIN lat ON p.p_partkey = lat.l_partkey")
-def _(t):
-    words = t.raw("part").select(F.col("p_partkey").alias("entity"), F.explode(F.split("p_name", " ")).alias("w"))
-    ingredients = words.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("w")), " + ").alias("ingredients"), F.countDistinct("w").alias("n_ingredients"))
+DIMENSION = f"""WITH {ITEMS}, full_ AS (SELECT i.*, s_name, n_name, o_orderpriority, c_mktsegment FROM items i LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
+words AS (SELECT p_partkey AS code, string_agg(DISTINCT w, ' + ' ORDER BY w) AS ingredients, count(DISTINCT w) AS ingredients_count FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1),
+company AS (SELECT entity, min(s_name) AS company, count(DISTINCT s_name) AS company_count FROM full_ GROUP BY 1),
+form AS (SELECT entity, min(l_returnflag) AS form, count(DISTINCT l_returnflag) AS form_count FROM full_ GROUP BY 1),
+route AS (SELECT entity, min(n_name) AS route, count(DISTINCT n_name) AS route_count FROM full_ GROUP BY 1),
+class AS (SELECT entity, max(o_orderpriority) AS class_code, max(c_mktsegment) AS class_name FROM full_ GROUP BY 1),
+schedule AS (SELECT entity, min(o_orderpriority) AS schedule FROM full_ WHERE o_orderpriority IS NOT NULL GROUP BY 1),
+status AS (SELECT entity, l_linestatus AS current_status, d AS current_status_since FROM full_ QUALIFY row_number() OVER (PARTITION BY entity ORDER BY d DESC NULLS LAST, l_linestatus DESC) = 1),
+marketed AS (SELECT entity, min(d) AS first_marketed FROM full_ WHERE l_linestatus = 'F' GROUP BY 1),
+dim AS (SELECT p_partkey AS code, p_brand AS owner, p_type || '/' || p_size AS grp, ingredients, coalesce(ingredients_count, 0) AS ingredients_count, company, coalesce(company_count, 0) AS company_count, form, coalesce(form_count, 0) AS form_count, route, coalesce(route_count, 0) AS route_count, class_code, class_name, schedule, coalesce(schedule_count, 0) AS schedule_count, current_status, current_status_since, first_marketed
+FROM part LEFT JOIN words ON p_partkey = words.code LEFT JOIN company c ON p_partkey = c.entity LEFT JOIN form f ON p_partkey = f.entity LEFT JOIN route r ON p_partkey = r.entity LEFT JOIN class k ON p_partkey = k.entity LEFT JOIN (SELECT entity, schedule, (SELECT count(DISTINCT o_orderpriority) FROM full_ x WHERE x.entity = y.entity) AS schedule_count FROM schedule y) s ON p_partkey = s.entity LEFT JOIN status t ON p_partkey = t.entity LEFT JOIN marketed m ON p_partkey = m.entity)"""
+
+
+def _dimension(t: Tables) -> DataFrame:
+    """Parts with eight side tables: words, suppliers, forms, nations, classes, schedules, status history twice."""
     items = t.items()
-    suppliers = items.groupBy("entity").agg(F.min("l_suppkey").alias("primary_supplier"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.min(F.when(F.col("l_linestatus") == "F", F.col("d"))).alias("first_marketed"))
-    latest = W.latest_by(items, ["entity"], "d", ["event_id", "l_linestatus"]).select("entity", F.col("l_linestatus").alias("current_status"))
-    return t.parts().select("entity", "owner").join(ingredients, "entity", "left").join(suppliers, "entity", "left").join(latest, "entity", "left")
+    makers = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
+    made = items.select("entity", "l_suppkey").join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "c_mktsegment")
+    asked = items.select("entity", "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    words = t.parts().select("entity", F.explode(F.split("p_name", " ")).alias("word"))
+    side = lambda rows, value, how, at=None: D.Side(rows, how, "entity", value, at)
+    sides = {
+        "ingredients": side(words, "word", "list"), "company": side(made, "s_name", "first"), "form": side(items, "l_returnflag", "first"), "route": side(made, "n_name", "first"),
+        "class_code": side(asked, "o_orderpriority", "last"), "class_name": side(asked, "c_mktsegment", "last"), "schedule": side(asked, "o_orderpriority", "first"),
+        "current_status": side(items, "l_linestatus", "latest", "d"), "first_marketed": side(items.where("l_linestatus = 'F'"), "l_linestatus", "earliest", "d"),
+    }
+    return D.build_dimension(t.parts().select(F.col("entity").alias("code"), "owner", "grp"), sides)
+
+
+@query("o16_build_dimension", DIMENSION + " SELECT * FROM dim")
+def _(t):
+    return _dimension(t)
+
+
+@query("o16_canonical_by_entity", DIMENSION + " SELECT * FROM dim WHERE grp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp ORDER BY CASE current_status WHEN 'O' THEN 0 WHEN 'F' THEN 1 WHEN current_status THEN 2 ELSE 3 END, code) = 1")
+def _(t):
+    return D.canonical_by_entity(_dimension(t), "grp", "current_status", ["O", "F"])
 
 
 @query("o17_build_panel", PANEL + " SELECT * FROM panel")
@@ -673,6 +724,12 @@ def _(t):
     return R.top_picks(P.scored(t).select("obs", "entity", "label", "score"), names, 10).drop("obs")
 
 
+@query("e23_cold_top_picks", SCORED + ", b AS (SELECT entity, score, label FROM scored WHERE obs = (SELECT max(obs) FROM scored) AND events_12m = 0 ORDER BY score DESC, entity LIMIT 10) SELECT entity, score, label, row_number() OVER (ORDER BY score DESC, entity) AS rank, p_name AS name FROM b LEFT JOIN part ON p_partkey = entity")
+def _(t):
+    names = t.parts().select("entity", F.col("p_name").alias("name"))
+    return R.top_picks(P.scored(t).select("obs", "entity", "label", "score", "events_12m"), names, 10, "events_12m").drop("obs", "events_12m")
+
+
 @query("e24_decile_capture", _bins(10) + " SELECT CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN bin = 0 THEN label ELSE 0 END) AS BIGINT) AS bottom, CAST(sum(CASE WHEN bin < 3 THEN label ELSE 0 END) AS BIGINT) AS bottom_3, CAST(sum(CASE WHEN bin = (SELECT max(bin) FROM bn) THEN label ELSE 0 END) AS BIGINT) AS top FROM bn")
 def _(t):
     return R.decile_capture(P.scored(t))
@@ -827,6 +884,12 @@ def _(t):
     return A.source_counts({n: t.raw(n) for n in ("orders", "lineitem", "events", "part")})
 
 
+@query("u21_tables_by_schema", "SELECT n AS schema, count(*) AS n_tables, CAST(sum(r) AS BIGINT) AS n_rows FROM (SELECT 'dimension' AS n, count(*) AS r FROM part UNION ALL SELECT 'dimension', count(*) FROM supplier UNION ALL SELECT 'dimension', count(*) FROM nation UNION ALL SELECT 'fact', count(*) FROM orders UNION ALL SELECT 'fact', count(*) FROM lineitem) GROUP BY 1")
+def _(t):
+    schemas = {"dimension": ("part", "supplier", "nation"), "fact": ("orders", "lineitem")}
+    return A.schema_counts({(schema, n): t.raw(n) for schema, names in schemas.items() for n in names})
+
+
 # --- models (no SQL form) ---
 
 #: Rounds at most, and rounds without a better area before boosting stops; fewer than the library's own, to end in minutes.

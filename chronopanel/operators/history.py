@@ -10,12 +10,17 @@ sorted. Events and history are never multiplied by the spine.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import OPEN, first_month_from, next_month
 
 AGE_DAYS = 365.25
+#: A month before all others, for what holds at any time.
+FIRST_MONTH = "0001-01-01"
 
 
 def entity_month_spine(entities: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -114,22 +119,33 @@ def key_grid(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     return df.select(*keys).distinct().withColumn("obs", F.explode(F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 month"))))
 
 
-def windowed_counts(events: DataFrame, keys: list[str], lo: str, hi: str, months: list[int], name: str = "events", start: str = "start", distinct: str | None = "event_id") -> DataFrame:
-    """(keys, obs, {name}_{n}m): events, or distinct ids, that started in [obs - n months, obs); months without any in the widest are left out."""
-    dated = events.where(F.col(start).isNotNull())
-    changes = id_deltas(dated, keys, months, name, start, distinct) if distinct else deltas(dated, keys, {f"{name}_{n}m": window_span(n, start) for n in months})
-    out = running(key_grid(changes, keys, lo, hi), changes, keys, {f"{name}_{n}m": F.sum(f"{name}_{n}m") for n in months}, ["obs"])
-    return out.where(F.col(f"{name}_{max(months)}m") > 0)
+FAMILIES = ("counts", "recency", "longest", "cycle")
+
 
+@dataclass
+class Family:
+    """Measures of one key: changes by (key, obs), aggregates that run over them, and columns made of these."""
 
-FAMILIES = ("counts", "recency", "longest", "cycle")
+    changes: DataFrame
+    sums: dict[str, Column]
+    columns: dict[str, Column]
 
 
-def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, keep: tuple[str, ...] = (), horizon: int = 90) -> DataFrame:
-    """(entity, obs, columns to ``keep``) with event counts by window and of all time, recency, longest completed event, mean gap, overdue days.
+def run_families(spine: DataFrame, keys: list[str], families: list[Family], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, obs, columns to ``keep``, all families' columns): their changes are one list under one running window, one join-free pass over the spine."""
+    changes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.changes for f in families])
+    out = running(spine, changes, keys, {n: c for f in families for n, c in f.sums.items()}, ["obs", *keep])
+    return out.select(*keys, "obs", *[c for c in keep if c not in (*keys, "obs")], *[c.alias(n) for f in families for n, c in f.columns.items()])
 
-    Only the ``families`` asked for are computed: counts, recency, longest, cycle, label (as ``forward_label``). Ids are
-    counted once in each window; gaps are between rows, so a repeated day is a gap of 0.
+
+def some(col: str) -> Column:
+    return F.coalesce(col, F.lit(0))
+
+
+def own_family(events: DataFrame, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, horizon: int = 90) -> Family:
+    """Counts by window and of all time, recency, longest completed event, mean gap and overdue days, label (as ``forward_label``), as far as asked for.
+
+    Ids are counted once in each window; gaps are between rows, so a repeated day is a gap of 0.
     """
     clean = events.where("entity is not null and start is not null")
     month, points, spans, sums = next_month(F.col("start")), {}, {}, {}
@@ -142,31 +158,34 @@ def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: t
     if "longest" in families:
         done = F.col("end").isNotNull() & F.col("duration").isNotNull()
         points["_long_max"] = (F.when(done, next_month(F.greatest("end", "start"))), F.col("duration"))
-        sums["longest_days"] = F.max("_long_max")
+        sums["_longest"] = F.max("_long_max")
     if "label" in families:
         spans |= _label_spans(horizon)
         sums |= {"_on": F.sum("_on"), "_soon": F.sum("_soon")}
     changes = deltas(clean, ["entity"], spans, points) if points or spans else None
     if "counts" in families:
         ids = id_deltas(clean, ["entity"], list(months), "events", ever="_ids")
-        sums |= {f"events_{n}m": F.sum(f"events_{n}m") for n in months} | {"events_all": F.sum("_ids")}
+        sums |= {f"_events_{n}m": F.sum(f"events_{n}m") for n in months} | {"_events_all": F.sum("_ids")}
         changes = ids if changes is None else changes.unionByName(ids, allowMissingColumns=True)
-    out = running(spine, changes, ["entity"], sums, ["obs", *keep])
     added: dict[str, Column] = {}
     if "label" in families:
         added |= _labels()
     if "counts" in families:
-        added |= {c: F.coalesce(c, F.lit(0)) for c in (*[f"events_{n}m" for n in months], "events_all")}
-        added["was_ever"] = F.coalesce("events_all", F.lit(0)) > 0
+        added |= {f"events_{n}m": some(f"_events_{n}m") for n in months} | {"events_all": some("_events_all"), "was_ever": some("_events_all") > 0}
     since = F.datediff("obs", "_last")
     if "recency" in families:
         added |= {"days_since_last": since, "days_since_first": F.datediff("obs", "_first")}
     if "longest" in families:
-        added["longest_days"] = F.col("longest_days")
+        added["longest_days"] = F.col("_longest")
     if "cycle" in families:
         gap = F.when(F.col("_n") >= 2, F.datediff("_last", "_first") / (F.col("_n") - 1).cast("double"))
         added |= {"mean_gap_days": gap, "overdue_days": since - gap}
-    return out.select("entity", "obs", *[c for c in keep if c not in ("entity", "obs")], *[x.alias(n) for n, x in added.items()])
+    return Family(changes, sums, added)
+
+
+def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, keep: tuple[str, ...] = (), horizon: int = 90) -> DataFrame:
+    """(entity, obs, columns to ``keep``) with the families asked for: counts, recency, longest, cycle, label."""
+    return run_families(spine, ["entity"], [own_family(events, months, families, horizon)], keep)
 
 
 def prior_event_counts(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36)) -> DataFrame:
@@ -185,11 +204,6 @@ def event_cycle(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFr
     return own_history(spine, events, lo, hi, families=("cycle",))
 
 
-def months_of(spark, lo: str, hi: str) -> DataFrame:
-    """One row for each month start; as long as the calendar, whatever the data."""
-    return spark.sql(f"select explode(sequence(date'{lo}', date'{hi}', interval 1 month)) as obs")
-
-
 def _begun(entities: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
     """(keys, obs, out): entities of the key that begin to exist in each month, those from before in the first one."""
     known = entities.where("first_date is not null")
@@ -214,33 +228,53 @@ def guarded(n: Column, d: Column) -> Column:
     return F.when(F.coalesce(d, F.lit(0)) > 0, F.coalesce(n, F.lit(0)).cast("double") / d).otherwise(F.lit(0.0))
 
 
-def owner_event_rate(entities: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(owner, obs): portfolio, events of the owner in 12 and 3 months, their rates and the difference of these.
-
-    Entities and events become changes of one list by owner and month, under one running window.
-    """
+def owner_family(entities: DataFrame, events: DataFrame, lo: str, hi: str) -> Family:
+    """Of each owner: portfolio, events in 12 and 3 months, their rates and the difference of these; portfolio is null before its first entity."""
     begun = _begun(entities.where("owner is not null"), ["owner"], lo, hi, "portfolio")
     counts = id_deltas(events.where("owner is not null and start is not null"), ["owner"], [12, 3], "owner_events")
-    names = ["portfolio", "owner_events_12m", "owner_events_3m"]
-    changes = begun.unionByName(counts, allowMissingColumns=True)
-    df = running(key_grid(begun, ["owner"], lo, hi), changes, ["owner"], {n: F.sum(n) for n in names}, ["obs"]).where("portfolio is not null").fillna(0, names)
-    df = df.withColumns({"owner_rate_12m": guarded(F.col("owner_events_12m"), F.col("portfolio")), "owner_rate_3m": guarded(F.col("owner_events_3m"), F.col("portfolio"))})
-    return df.withColumn("owner_rate_delta", F.col("owner_rate_3m") - F.col("owner_rate_12m"))
+    sums = {"_portfolio": F.sum("portfolio"), "_owner_12m": F.sum("owner_events_12m"), "_owner_3m": F.sum("owner_events_3m")}
+    size, year, quarter = F.col("_portfolio"), some("_owner_12m"), some("_owner_3m")
+    columns = {"portfolio": size, "owner_events_12m": year, "owner_events_3m": quarter, "owner_rate_12m": guarded(year, size), "owner_rate_3m": guarded(quarter, size)}
+    return Family(begun.unionByName(counts, allowMissingColumns=True), sums, columns | {"owner_rate_delta": columns["owner_rate_3m"] - columns["owner_rate_12m"]})
+
+
+def owner_event_rate(entities: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(owner, obs) from the owner's first entity on, with the columns of ``owner_family``."""
+    grid = key_grid(entities.where("owner is not null and first_date is not null"), ["owner"], lo, hi)
+    return run_families(grid, ["owner"], [owner_family(entities, events, lo, hi)]).where("portfolio is not null")
+
+
+def market_family(entities: DataFrame, lo: str, hi: str) -> Family:
+    """Of each group: entities that exist and owners of any of them, from one row for each group, owner and month."""
+    begun = _begun(entities.where("grp is not null and owner is not null"), ["grp", "owner"], lo, hi, "_begun")
+    first = F.row_number().over(Window.partitionBy("grp", "owner").orderBy("obs")) == 1  # a row for each month at most
+    changes = begun.withColumn("_owner", first.cast("int")).groupBy("grp", "obs").agg(F.sum("_begun").alias("_entities"), F.sum("_owner").alias("_owners"))
+    return Family(changes, {"_e": F.sum("_entities"), "_o": F.sum("_owners")}, {"group_entities": F.col("_e"), "group_owners": F.col("_o")})
+
+
+def own_entities(entities: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(grp, owner, obs, own_entities): entities of the owner in the group, from the first one on."""
+    return _standing(entities.where("grp is not null and owner is not null"), ["grp", "owner"], lo, hi, "own_entities")
 
 
 def market_structure(entities: DataFrame, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
-    """(grp, obs, total, n_owners) and (grp, owner, obs, own): two levels, so a large group is counted owner by owner."""
-    own = _standing(entities.where("grp is not null and owner is not null"), ["grp", "owner"], lo, hi, "own_entities")
-    total = own.groupBy("grp", "obs").agg(F.sum("own_entities").alias("group_entities"), F.count("*").alias("group_owners"))
-    return total, own
+    """(grp, obs, group_entities, group_owners) and (grp, owner, obs, own_entities): two levels, so a large group is counted owner by owner."""
+    grid = key_grid(entities.where("grp is not null and owner is not null and first_date is not null"), ["grp"], lo, hi)
+    total = run_families(grid, ["grp"], [market_family(entities, lo, hi)]).where("group_entities is not null")
+    return total, own_entities(entities, lo, hi)
 
 
-def group_activity(events: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(grp, obs): events of the group in 12 months and how many are on; months without any of them are left out."""
+def group_family(events: DataFrame) -> Family:
+    """Of each group: events in 12 months and how many are on."""
     grouped = events.where("grp is not null and start is not null")
     changes = id_deltas(grouped, ["grp"], [12], "_group").unionByName(deltas(grouped, ["grp"], {"_group_on": active_span()}), allowMissingColumns=True)
-    out = running(key_grid(changes, ["grp"], lo, hi), changes, ["grp"], {"_group_12m": F.sum("_group_12m"), "_group_on": F.sum("_group_on")}, ["obs"])
-    return out.where("_group_12m > 0 or _group_on > 0")
+    return Family(changes, {"_g12": F.sum("_group_12m"), "_gon": F.sum("_group_on")}, {"_group_12m": F.col("_g12"), "_group_on": F.col("_gon")})
+
+
+def group_activity(events: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(grp, obs): events of the group in 12 months and how many are on; months without any of them are left out."""
+    grid = key_grid(events.where("grp is not null and start is not null"), ["grp"], lo, hi)
+    return run_families(grid, ["grp"], [group_family(events)]).where("_group_12m > 0 or _group_on > 0")
 
 
 def peers_of(df: DataFrame, groups: DataFrame, own_12m: str, own_now: str) -> DataFrame:
@@ -256,35 +290,47 @@ def peer_events(spine: DataFrame, events: DataFrame, lo: str, hi: str) -> DataFr
 
     Group minus own stands for a join of the peers with each other.
     """
-    clean = events.where("entity is not null and start is not null")
-    changes = id_deltas(clean, ["entity"], [12], "_own").unionByName(deltas(clean, ["entity"], {"_own_on": active_span()}), allowMissingColumns=True)
-    own = running(spine, changes, ["entity"], {"_own_12m": F.sum("_own_12m"), "_own_on": F.sum("_own_on")}, ["obs", "grp"])
-    return peers_of(own, group_activity(events, lo, hi), "_own_12m", "_own_on").select("entity", "obs", "peer_events_12m", "peer_in_event_now")
+    own = own_history(spine, events, lo, hi, (12,), ("counts", "label"), ("grp",))
+    return peers_of(own, group_activity(events, lo, hi), "events_12m", "in_event").select("entity", "obs", "peer_events_12m", "peer_in_event_now")
+
+
+def exit_family(exits: DataFrame, key: str, name: str, months: list[int], last: str | None = None) -> Family:
+    """Of each key: exits by window, one's own included, and days since the last one."""
+    dated = exits.where(F.col(key).isNotNull() & F.col("exit_date").isNotNull())
+    points = {"_exit_max": (next_month(F.col("exit_date")), F.col("exit_date"))} if last else None
+    changes = deltas(dated, [key], {f"_{name}_{n}": window_span(n, "exit_date") for n in months}, points)
+    sums = {f"_{name}_{n}m": F.sum(f"_{name}_{n}") for n in months} | ({"_last_exit": F.max("_exit_max")} if last else {})
+    return Family(changes, sums, {f"{name}_{n}m": some(f"_{name}_{n}m") for n in months} | ({last: F.datediff("obs", "_last_exit")} if last else {}))
 
 
 def exit_signals(exits: DataFrame, spine: DataFrame, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
-    """(grp, obs): exits in 12 and 36 months and days since the last, one's own included; (owner, obs): exits in 12 months."""
-    dated = exits.where("exit_date is not null")
-    by_group = windowed_counts(dated.where("grp is not null"), ["grp"], lo, hi, [12, 36], "group_exits", "exit_date", None)
-    deltas = dated.where("grp is not null").groupBy("grp", next_month(F.col("exit_date")).alias("obs")).agg(F.max("exit_date").alias("_x"))
-    last = running(spine.where("grp is not null"), deltas, ["grp"], {"_last": F.max("_x")})
-    group = last.join(by_group, ["grp", "obs"], "left").select("grp", "obs", F.coalesce("group_exits_12m", F.lit(0)).alias("group_exits_12m"), F.coalesce("group_exits_36m", F.lit(0)).alias("group_exits_36m"), F.datediff("obs", "_last").alias("days_since_group_exit"))
-    owner = windowed_counts(dated.where("owner is not null"), ["owner"], lo, hi, [12], "owner_exits", "exit_date", None)
-    return group, owner
+    """(grp, obs): exits in 12 and 36 months and days since the last; (owner, obs): exits in 12 months, months without any left out."""
+    group = run_families(spine.where("grp is not null").select("grp", "obs").distinct(), ["grp"], [exit_family(exits, "grp", "group_exits", [12, 36], "days_since_group_exit")])
+    grid = key_grid(exits.where("owner is not null and exit_date is not null"), ["owner"], lo, hi)
+    return group, run_families(grid, ["owner"], [exit_family(exits, "owner", "owner_exits", [12])]).where("owner_exits_12m > 0")
 
 
-def coverage_breadth(spine: DataFrame, coverage: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(entity, obs): jurisdictions and benefit rows of coverage that is on at obs.
+def coverage_family(coverage: DataFrame, flags: dict[str, str] | None = None) -> Family:
+    """Of each entity: jurisdictions and benefit rows of coverage that is on, and whether any of its rows, whenever, is of a type.
 
     Of a jurisdiction's spans in the order of their first months each counts only beyond those before it.
     """
     first, last = active_span()
-    rows = coverage.where("entity is not null").select("entity", "jurisdiction", "benefit", first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    flags = flags or {}
+    types = {f"_{k}_max": (F.lit(FIRST_MONTH).cast("date"), F.when(F.col("type") == v, 1).otherwise(0)) for k, v in flags.items()}
+    rows = coverage.where("entity is not null").select("entity", "jurisdiction", "benefit", *(["type"] if flags else []), first.alias("_a"), last.alias("_b"))
+    rows = rows if flags else rows.where("_a <= _b")
     w = Window.partitionBy("entity", "jurisdiction").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_from", F.greatest("_a", F.add_months(F.max("_b").over(w), 1)))
+    before = F.max(F.when(F.col("_a") <= F.col("_b"), F.col("_b"))).over(w)
+    rows = rows.withColumn("_from", F.greatest("_a", F.add_months(before, 1)))
     spans = {"_places": (F.when(F.col("jurisdiction").isNotNull(), F.col("_from")), F.col("_b")), "_benefit": (F.when(F.col("benefit"), F.col("_a")), F.col("_b"))}
-    out = running(spine, deltas(rows, ["entity"], spans), ["entity"], {"_p": F.sum("_places"), "_q": F.sum("_benefit")}, ["obs"])
-    return out.select("entity", "obs", F.coalesce("_p", F.lit(0)).alias("n_jurisdictions"), F.coalesce("_q", F.lit(0)).alias("n_benefit_rows"))
+    sums = {"_p": F.sum("_places"), "_q": F.sum("_benefit")} | {f"_{k}": F.max(f"_{k}_max") for k in flags}
+    return Family(deltas(rows, ["entity"], spans, types), sums, {"n_jurisdictions": some("_p"), "n_benefit_rows": some("_q")} | {k: some(f"_{k}") for k in flags})
+
+
+def coverage_breadth(spine: DataFrame, coverage: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(entity, obs): jurisdictions and benefit rows of coverage that is on at obs."""
+    return run_families(spine, ["entity"], [coverage_family(coverage)])
 
 
 def static_type_flags(coverage: DataFrame, col: str, flags: dict[str, str]) -> DataFrame:
@@ -296,10 +342,6 @@ def entity_age_years(first: Column, obs: Column) -> Column:
     return F.datediff(obs, first).cast("double") / F.lit(AGE_DAYS)
 
 
-#: A month before all others, in which a token that has any event counts as matched.
-FIRST_MONTH = "0001-01-01"
-
-
 def token_changes(foreign: DataFrame) -> DataFrame:
     """(token, obs, _on, _new, _ever): +1 in a month from which a token has an event on (or one begun in 12 months), -1 where that ends.
 
@@ -317,16 +359,21 @@ def token_changes(foreign: DataFrame) -> DataFrame:
     return steps.where("_ever > 0 or _on <> 0 or _new <> 0")
 
 
-def token_bridge_signals(spine: DataFrame, entity_tokens: DataFrame, foreign: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(entity, obs): ever matched, distinct tokens with a foreign event on, distinct tokens with one begun in 12 months.
+def token_family(entity_tokens: DataFrame, foreign: DataFrame, hi: str) -> Family:
+    """Of each entity: ever matched, distinct tokens with a foreign event on, distinct tokens with one begun in 12 months.
 
     Only the months in which a token's signals begin or end go through the bridge, not each month of them.
     """
     bridge = entity_tokens.where("entity is not null").select("entity", "token").distinct()
-    changes = bridge.join(token_changes(foreign).where(F.col("obs") <= F.lit(hi).cast("date")), "token").groupBy("entity", "obs").agg(*[F.sum(c).alias(c) for c in ("_ever", "_on", "_new")])
-    out = running(spine, changes, ["entity"], {c: F.sum(c) for c in ("_ever", "_on", "_new")}, ["obs"])
-    some = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("entity", "obs", (some("_ever") > 0).cast("int").alias("foreign_match"), some("_on").alias("foreign_active"), some("_new").alias("foreign_12m"))
+    met = bridge.join(token_changes(foreign).where(F.col("obs") <= F.lit(hi).cast("date")), "token")
+    changes = met.groupBy("entity", "obs").agg(F.sum("_ever").alias("_token_ever"), F.sum("_on").alias("_token_on"), F.sum("_new").alias("_token_new"))
+    sums = {"_match": F.sum("_token_ever"), "_active": F.sum("_token_on"), "_begun": F.sum("_token_new")}
+    return Family(changes, sums, {"foreign_match": (some("_match") > 0).cast("int"), "foreign_active": some("_active"), "foreign_12m": some("_begun")})
+
+
+def token_bridge_signals(spine: DataFrame, entity_tokens: DataFrame, foreign: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(entity, obs) with the columns of ``token_family``."""
+    return run_families(spine, ["entity"], [token_family(entity_tokens, foreign, hi)])
 
 
 def event_measures(events: DataFrame, anticipated: str, actual: str, estimated_end: str, actual_end: str) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..operators.joins import latest_before
 from ..operators.ranking import blend_scores, heuristic_compound, heuristic_single
 from ..operators.staging import settled
+from ..sources.io import write_table
 from .proxy import HI, LO, SPLITS, Tables
 
 
@@ -18,25 +20,20 @@ def labelled_spine(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
 def assemble_features(t: Tables) -> DataFrame:
     """All feature families, and in_event and label, on the spine, whose rows stay one to one.
 
-    Entities and events, both narrow, are settled once for all families. One
-    running window by entity gives the label and all own measures; owner and group
-    roll-ups are a row for each key and month, broadcast by AQE below its size limit and joined by sort and
-    merge beyond it.
+    Entities and events, both narrow, are settled once. What belongs to the entity (own
+    events, label, coverage, outside signals) is one list of changes under one
+    running window, and so is what belongs to the owner and to the group; those are a row for each key and
+    month, joined to the spine by AQE's choice.
     """
     entities, events = settled(t.entities()), settled(t.events())
-    grid = H.entity_month_spine(entities, LO, HI)
-    own = H.own_history(grid, events, LO, HI, families=(*H.FAMILIES, "label"), keep=("code", "owner", "grp", "first_date"))
-    owner = H.owner_event_rate(entities, events, LO, HI)
-    group, own_share = H.market_structure(entities, LO, HI)
-    group_exits, owner_exits = H.exit_signals(t.exits(), grid, LO, HI)
-    coverage = t.coverage()
-    cover = H.coverage_breadth(grid, coverage, LO, HI)
-    types = H.static_type_flags(coverage, "type", {"is_generic": "F", "is_brand": "O"})
-    foreign = H.token_bridge_signals(grid, t.entity_tokens(), t.foreign_events(), LO, HI)
-    key = ["entity", "obs"]
-    df = own.join(cover, key, "left").join(foreign, key, "left").join(types, "entity", "left")
-    df = H.peers_of(df, H.group_activity(events, LO, HI), "events_12m", "in_event")
-    df = df.join(owner, ["owner", "obs"], "left").join(owner_exits, ["owner", "obs"], "left").join(group, ["grp", "obs"], "left").join(own_share, ["grp", "owner", "obs"], "left").join(group_exits, ["grp", "obs"], "left")
+    grid, exits = H.entity_month_spine(entities, LO, HI), t.exits()
+    flags = {"is_generic": "F", "is_brand": "O"}
+    own = [H.own_family(events, families=(*H.FAMILIES, "label")), H.coverage_family(t.coverage(), flags), H.token_family(t.entity_tokens(), t.foreign_events(), HI)]
+    df = H.run_families(grid, ["entity"], own, ("code", "owner", "grp", "first_date"))
+    calendar = lambda key: H.key_grid(entities.where(F.col(key).isNotNull()), [key], LO, HI)
+    owners = H.run_families(calendar("owner"), ["owner"], [H.owner_family(entities, events, LO, HI), H.exit_family(exits, "owner", "owner_exits", [12])])
+    groups = H.run_families(calendar("grp"), ["grp"], [H.market_family(entities, LO, HI), H.group_family(events), H.exit_family(exits, "grp", "group_exits", [12, 36], "days_since_group_exit")])
+    df = H.peers_of(df, groups, "events_12m", "in_event").join(owners, ["owner", "obs"], "left").join(H.own_entities(entities, LO, HI), ["grp", "owner", "obs"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return df.select(
         "obs", "entity", "code", "owner", "grp", "in_event", "label", H.entity_age_years(F.col("first_date"), F.col("obs")).alias("age_years"),
@@ -45,7 +42,7 @@ def assemble_features(t: Tables) -> DataFrame:
         zero(F.col("group_entities") - 1).alias("competing"), zero("group_owners").alias("group_owners"), H.guarded(F.col("own_entities"), F.col("group_entities")).alias("own_share"),
         "peer_events_12m", "peer_in_event_now", zero("group_exits_12m").alias("group_exits_12m"), zero("group_exits_36m").alias("group_exits_36m"), "days_since_group_exit",
         zero("owner_exits_12m").alias("owner_exits_12m"), H.guarded(F.col("owner_exits_12m"), F.col("portfolio")).alias("owner_exit_rate_12m"),
-        "n_jurisdictions", "n_benefit_rows", zero("is_generic").alias("is_generic"), zero("is_brand").alias("is_brand"), "foreign_match", "foreign_active", "foreign_12m",
+        "n_jurisdictions", "n_benefit_rows", "is_generic", "is_brand", "foreign_match", "foreign_active", "foreign_12m",
     )
 
 
@@ -54,6 +51,21 @@ def build_panel(t: Tables, stamp: bool = False) -> DataFrame:
     return panel.withColumn("loaded_at", F.current_timestamp()) if stamp else panel
 
 
+def with_categories(t: Tables, panel: DataFrame) -> DataFrame:
+    """The panel with four categories beside the owner: type, size band and kind of the part, nation of its last reporter before obs (null: none yet)."""
+    words = F.split("p_name", " ")
+    fixed = t.parts().select(F.col("entity").alias("_e"), F.col("p_type").alias("type"), F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string")).alias("size_band"), F.element_at(words, -1).alias("kind"))
+    nations = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("nation"))
+    reported = t.events().join(nations, F.col("reporter") == F.col("s_suppkey"), "left").select("entity", "event_id", "start", "nation")
+    df = latest_before(panel, reported, ["event_id"]).withColumn("last_nation", F.col("last.nation")).drop("last")
+    return df.join(fixed, df["entity"] == fixed["_e"], "left").drop("_e")
+
+
+def write_by_month(panel: DataFrame, path: str) -> None:
+    """The panel as a table partitioned by month, so that a split reads its own months alone; a few files for each."""
+    write_table(panel.repartition("obs"), path, ["obs"])
+
+
 def exclude_and_split(panel: DataFrame, splits: dict[str, tuple[str, str]] = SPLITS) -> DataFrame:
     """Rows not in an event, tagged with their split; the buffers between splits belong to none.
 

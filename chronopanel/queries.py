@@ -594,6 +594,14 @@ def _(t):
     return P.exclude_and_split(P.labelled_spine(t)).select("obs", "entity", "label", "split")
 
 
+@query("o18_split_of_a_monthly_table", SHORT + " SELECT obs, entity, label, split FROM tagged WHERE split = 'test'")
+def _(t):
+    path = S.scratch_dir(t.spark, "panel")
+    P.write_by_month(P.labelled_spine(t), path)
+    panel = S.read_panel(t.spark, path, ["obs", "entity", "label", "in_event"])
+    return P.exclude_and_split(panel, {"test": SPLITS["test"]}).select("obs", "entity", "label", "split")
+
+
 @query("o19_split_summary", SHORT + " SELECT split, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 9) AS rate, count(DISTINCT entity) AS entities, count(DISTINCT obs) AS months, min(obs) AS first_obs, max(obs) AS last_obs, count(*) FILTER (WHERE label IS NULL) AS null_labels FROM tagged WHERE split IS NOT NULL GROUP BY 1")
 def _(t):
     return P.split_summary(P.exclude_and_split(P.labelled_spine(t)))
@@ -898,24 +906,24 @@ BOOST = (120, 15)
 
 @query("e01_e02_logistic")
 def _(t):
-    df = P.exclude_and_split(P.build_panel(t))
+    df = P.exclude_and_split(P.with_categories(t, P.build_panel(t)))
     train = df.where("split = 'train'")
     return M.predict(M.fit_logistic(train, M.SIGNS), df.where("split = 'test'")).select("obs", "entity", "label", "score")
 
 
 @query("e03_boosted")
 def _(t):
-    df = P.exclude_and_split(P.build_panel(t))
+    df = P.exclude_and_split(P.with_categories(t, P.build_panel(t)))
     return M.predict(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df.where("split = 'test'")).select("obs", "entity", "label", "score")
 
 
 @query("e16_sign_check")
 def _(t):
-    df = P.exclude_and_split(P.build_panel(t))
+    df = P.exclude_and_split(P.with_categories(t, P.build_panel(t)))
     return M.sign_check(M.predict(M.fit_logistic(df.where("split = 'train'"), M.SIGNS), df.where("split = 'test'")), M.SIGNS)
 
 
 @query("e18_feature_importance")
 def _(t):
-    df = P.exclude_and_split(P.build_panel(t))
+    df = P.exclude_and_split(P.with_categories(t, P.build_panel(t)))
     return M.feature_importance(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df)

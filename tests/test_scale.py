@@ -169,3 +169,32 @@ def test_a_hot_entitys_overlaps(spark, ranges):
     got = J.overlap_counts(spark.createDataFrame(rows, "entity string, event_id int, start date, end date"))
     assert got.collect() == [("hot", want)]
     assert largest_share(ranges[-1:], ranges[-1][0].count()) < 0.15
+
+
+def test_a_split_reads_its_own_months_alone(spark, tmp_path):
+    from chronopanel.plans import panel as P
+    from chronopanel.sources import io as S
+
+    rows = [(DAY.replace(month=m), i, 0, i % 2) for m in range(1, 13) for i in range(5)]
+    P.write_by_month(spark.createDataFrame(rows, "obs date, entity int, in_event int, label int"), str(tmp_path / "panel"))
+    split = P.exclude_and_split(S.read_panel(spark, str(tmp_path / "panel"), ["obs", "entity", "in_event", "label"]), {"test": ("2000-11-01", "2000-12-01")})
+    assert split.count() == 10
+    scan = next(x for x in split._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    filters = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "obs" in filters and "in_event" in scan.split("PushedFilters")[1]
+
+
+def test_a_dimension_of_any_side_tables(spark):
+    from chronopanel.plans import dimension as D
+
+    base = spark.createDataFrame([(1, "e"), (2, "e"), (3, None), (None, "f")], "code int, entity string")
+    text = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, ""), (None, "x"), (9, "y")], "code int, value string")
+    dated = spark.createDataFrame([(1, "old", dt.date(2000, 1, 1)), (1, "new", dt.date(2001, 1, 1)), (1, "new2", dt.date(2001, 1, 1)), (2, "only", None), (3, None, dt.date(1999, 1, 1))], "code int, value string, at date")
+    sides = {"words": D.Side(text, "list"), "first": D.Side(text, "first"), "most": D.Side(text, "last"), "status": D.Side(dated, "latest", at="at"), "since": D.Side(dated, "earliest", at="at")}
+    got = {r.code: r.asDict() for r in D.build_dimension(base, sides).collect()}
+    assert got[1] == {"code": 1, "entity": "e", "words": "a + b", "words_count": 2, "first": "a", "first_count": 2, "most": "b", "status": "new2", "status_since": dt.date(2001, 1, 1), "since": dt.date(2000, 1, 1)}
+    assert got[2]["status"] == "only" and got[2]["status_since"] is None and got[3]["words_count"] == 0 and got[3]["words"] is None and got[3]["since"] == dt.date(1999, 1, 1)
+    assert got[None]["first_count"] == 0
+    assert [r.code for r in D.canonical_by_entity(D.build_dimension(base, sides), "entity", "status", ["only", "new2"]).orderBy("code").collect()] == [None, 2]
+    with pytest.raises(ValueError, match="how"):
+        D.build_dimension(base, {"x": D.Side(text, "any")})

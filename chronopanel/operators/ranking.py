@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .prefix import running_sums
 from .quantiles import quantiles
-from .windows import average_rank
+from .windows import average_ranks
 
 
 def tag_strata(df: DataFrame, train_entities: DataFrame, history: str, class_col: str, classes: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def jitter(*keys: str, seed: int = 0, scale: float = 1e-9) -> Column:
 
 def blend_scores(df: DataFrame, keys: list[str], first: str, second: str, w1: float = 2.0, w2: float = 1.0, out: str = "blend") -> DataFrame:
     """Weighted sum of the mean ranks of two scores within each key."""
-    df = average_rank(average_rank(df, keys, first, "_r1"), keys, second, "_r2")
+    df = average_ranks(df, keys, {first: "_r1", second: "_r2"})
     return df.withColumn(out, F.lit(w1) * F.col("_r1") + F.lit(w2) * F.col("_r2")).drop("_r1", "_r2")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,29 @@ def lag_gap(df: DataFrame, keys: list[str], date: str, ties: list[str], out: str
     return df.withColumn(out, F.datediff(date, F.lag(date).over(w)))
 
 
-def average_rank(df: DataFrame, keys: list[str], score: str, out: str = "rank") -> DataFrame:
-    """Ascending rank from 1, null scores first, NaN last; ties share their mean.
+def average_ranks(df: DataFrame, keys: list[str], scores: dict[str, str]) -> DataFrame:
+    """Adds for each score {column: name} its ascending rank inside the key from 1, null scores first, NaN last; ties share their mean.
 
     Ranks come from counts of distinct scores under running sums by ranges of (key,
-    score), so no task sorts more than a range of a key, whether its scores tie or not.
+    score), so no task sorts more than a range of a key, whether its scores tie or
+    not. All scores, which are of one type, go through one pass.
     """
-    steps = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    steps = running_sums(steps, keys, [score], {"_to": F.col("_n")})
-    steps = steps.withColumn(out, F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)).drop("_n", "_to")
-    names = {c: f"_r_{c}" for c in [*keys, score]}
-    on = [df[c].eqNullSafe(F.col(n)) for c, n in names.items()]
-    return df.join(steps.withColumnsRenamed(names), on, "left").drop(*names.values())
+    each = [df.select(*keys, F.lit(i).alias("_which"), F.col(f"`{c}`").alias("_score")) for i, c in enumerate(scores)]
+    steps = reduce(DataFrame.unionAll, each).groupBy(*keys, "_which", "_score").agg(F.count("*").alias("_n"))
+    steps = running_sums(steps, [*keys, "_which"], ["_score"], {"_to": F.col("_n")})
+    names = {k: f"_r_{i}" for i, k in enumerate(keys)}
+    for i, (score, out) in enumerate(scores.items()):
+        own = steps.where(F.col("_which") == i).select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()], F.col("_score").alias("_of"), (F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
+        on = df[score].eqNullSafe(own["_of"])
+        for k, n in names.items():
+            on &= df[k].eqNullSafe(own[n])
+        df = df.join(own, on, "left").drop("_of", *names.values())
+    return df
+
+
+def average_rank(df: DataFrame, keys: list[str], score: str, out: str = "rank") -> DataFrame:
+    """One score's rank as ``average_ranks`` gives it."""
+    return average_ranks(df, keys, {score: out})
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:

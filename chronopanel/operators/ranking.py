@@ -63,13 +63,13 @@ _PRECISION = "_p * (_p_to_total - _p_to + _p) / cast(_n_to_total - _n_to + _n as
 
 def _areas() -> tuple[Column, Column]:
     """ROC area (Mann-Whitney) and average precision over falling distinct scores of summed steps; null with one class."""
-    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
-    roc = F.when(both, F.col("_won") / (F.col("positives").cast("double") * (F.col("n") - F.col("positives"))))
-    return roc.alias("roc_auc"), F.when(both, F.col("_ap") / F.col("positives")).alias("pr_auc")
+    both = (F.col("_pos") > 0) & (F.col("_pos") < F.col("_rows"))
+    roc = F.when(both, F.col("_won") / (F.col("_pos").cast("double") * (F.col("_rows") - F.col("_pos"))))
+    return roc.alias("roc_auc"), F.when(both, F.col("_ap") / F.col("_pos")).alias("pr_auc")
 
 
 def _summed(steps: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    return steps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum(F.expr(_BELOW)).alias("_won"), F.sum(F.expr(_PRECISION)).alias("_ap"), *more)
+    return steps.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.sum("_p").alias("_pos"), F.sum(F.expr(_BELOW)).alias("_won"), F.sum(F.expr(_PRECISION)).alias("_ap"), *more)
 
 
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def compute_metrics(df: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
     """
     error = (F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))
     sums = _summed(_curve(df, keys, F.sum(error).alias("_e")), keys, F.sum("_e").alias("_err"))
-    sums = with_precision(sums, top_hits(df, keys, ks), keys, ks)
+    sums = with_precision(sums.withColumns({"n": F.col("_rows"), "positives": F.col("_pos")}), top_hits(df, keys, ks), keys, ks)
     return sums.select(*keys, "n", "positives", *[f"p_at_{k}" for k in ks], (F.col("positives") / F.col("n")).alias("base_rate"), *_areas(), (F.col("_err") / F.col("n")).alias("brier"))
 
 

@@ -78,10 +78,10 @@ def exclude_and_split(panel: DataFrame, splits: dict[str, tuple[str, str]] = SPL
 
 
 def split_summary(tagged: DataFrame) -> DataFrame:
-    """Rows, positives, rate, entities and months of each split."""
+    """Rows, positives, rate, entities and months (as many as the calendar has at most, so kept as a set) of each split."""
     return tagged.groupBy("split").agg(
         F.count("*").alias("n_rows"), F.sum("label").cast("bigint").alias("positives"), F.round(F.avg("label"), 9).alias("rate"), F.countDistinct("entity").alias("entities"),
-        F.countDistinct("obs").alias("months"), F.min("obs").alias("first_obs"), F.max("obs").alias("last_obs"), F.count_if(F.col("label").isNull()).alias("null_labels"),
+        F.size(F.collect_set("obs")).cast("bigint").alias("months"), F.min("obs").alias("first_obs"), F.max("obs").alias("last_obs"), F.count_if(F.col("label").isNull()).alias("null_labels"),
     )
 
 

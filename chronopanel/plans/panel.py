@@ -94,14 +94,18 @@ def short_panel(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
 
 
 def scored(t: Tables, split: str = "test") -> DataFrame:
-    """Rows of a split with two heuristic scores and their blend, settled: every metric reads them more than once."""
+    """Rows of a split with two heuristic scores and one between 0 and 1, settled: every metric reads them more than once."""
     df = exclude_and_split(short_panel(t, *SPLITS[split]), {split: SPLITS[split]})
     df = df.withColumns({"single": heuristic_single("events_12m", "entity", "obs"), "compound": heuristic_compound("events_12m", "owner_rate_12m", "entity", "obs")})
-    df = settled(df.withColumn("score", F.col("compound") / (F.col("compound") + 4)))
-    return settled(blend_scores(df, ["obs"], "compound", "single"))
+    return settled(df.withColumn("score", F.col("compound") / (F.col("compound") + 4)))
+
+
+def blended(t: Tables, split: str = "test") -> DataFrame:
+    """The scored rows with the blend of both heuristics' ranks in their month, settled."""
+    return settled(blend_scores(scored(t, split), ["obs"], "compound", "single"))
 
 
 def ranked_long(t: Tables) -> DataFrame:
     """(ranker, obs, entity, label, score): all rankers in one frame, so one window serves them."""
-    df = scored(t)
+    df = blended(t)
     return df.selectExpr("obs", "entity", "label", "stack(3, 'single', single, 'compound', compound, 'blend', blend) as (ranker, score)")

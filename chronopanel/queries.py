@@ -661,7 +661,7 @@ def _(t):
 
 @query("e11_e12_heuristics_blend", SCORED + " SELECT obs, entity, single, compound, blend FROM scored")
 def _(t):
-    return P.scored(t).select("obs", "entity", "single", "compound", "blend")
+    return P.blended(t).select("obs", "entity", "single", "compound", "blend")
 
 
 TOPK = LONG + ", rk AS (SELECT *, row_number() OVER (PARTITION BY ranker, obs ORDER BY score DESC, entity) AS rn FROM long_), mon AS (SELECT ranker, obs, k, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= k THEN label ELSE 0 END) AS BIGINT) AS hits, CASE WHEN sum(label) > 0 AND sum(label) < count(*) AND count(*) >= k THEN sum(CASE WHEN rn <= k THEN label ELSE 0 END) / k::DOUBLE END AS p_at_k FROM rk CROSS JOIN (SELECT unnest([10, 25, 50, 100]) AS k) GROUP BY 1, 2, 3)"
@@ -678,10 +678,10 @@ def _(t):
     return df.withColumns({c: F.round(c, 9) for c in ("mean_p", "median_p", "mean_hits", "base_rate", "lift")})
 
 
-@query("e15_relative_lift", TOPK + ", s AS (SELECT ranker, avg(p_at_k) AS p FROM mon WHERE k = 50 GROUP BY 1) SELECT round(max(p) FILTER (WHERE ranker = 'blend'), 9) AS p, round(max(p) FILTER (WHERE ranker = 'single'), 9) AS p_base, round((max(p) FILTER (WHERE ranker = 'blend') - max(p) FILTER (WHERE ranker = 'single')) / nullif(max(p) FILTER (WHERE ranker = 'single'), 0), 9) AS gain FROM s")
+@query("e15_relative_lift", TOPK + ", s AS (SELECT ranker, avg(p_at_k) AS p FROM mon WHERE k = 50 GROUP BY 1) SELECT round(max(p) FILTER (WHERE ranker = 'blend'), 9) AS p, round(max(p) FILTER (WHERE ranker = 'single'), 9) AS p_base, round((max(p) FILTER (WHERE ranker = 'blend') - max(p) FILTER (WHERE ranker = 'single')) / nullif(max(p) FILTER (WHERE ranker = 'single'), 0), 9) + 0.0::DOUBLE AS gain FROM s")
 def _(t):
     df = R.relative_lift(R.summarize_topk(R.per_month_topk(P.ranked_long(t), [10, 25, 50, 100])), 50, "blend", "single")
-    return df.withColumns({c: F.round(c, 9) for c in df.columns})
+    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in df.columns})  # a zero has no sign
 
 
 def _bins(n: int) -> str:

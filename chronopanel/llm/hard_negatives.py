@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-#: Rows of a block of candidates and of anchors, at most but for chance; the least of a block that is made for the sake of more tasks.
-CANDIDATES, ANCHORS, LEAST = 65536, 8192, 2048
+#: Components in a block of candidates and of anchors (65536 and 8192 rows of 64), at most but for chance and for a
+#: single row, whatever the vectors' length; the least rows of a block that is made for the sake of more tasks.
+CANDIDATES, ANCHORS, LEAST = 1 << 22, 1 << 19, 2048
 #: Scores held at once, and bits of a double that hold whole numbers exactly.
 SCORES, EXACT_BITS = 1 << 21, 53
 #: Candidates in one of Python's integers.
@@ -137,7 +138,7 @@ def hard_negatives(df: DataFrame, anchor: Column, id_col: str = "vec_id", label_
 
     Rows with a null id, label, vector or component or one that isn't finite take no part; rows
     that repeat as a whole count once, others that share an id stay apart; shorter
-    vectors are as if filled with zeros; components and scores must fit in a long. Anchors without
+    vectors are as if filled with zeros; ids and labels are whole numbers, components and scores must fit in a long. Anchors without
     positives or negatives give no rows, as does an empty table; other columns are ignored.
     """
     spark = df.sparkSession
@@ -147,8 +148,9 @@ def hard_negatives(df: DataFrame, anchor: Column, id_col: str = "vec_id", label_
     dims, kind = dims or 0, "int" if (far or 0) < 1 << 31 else "bigint"
     filled = F.concat("x", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dims) - F.size("x")))
     spread = lambda blocks: F.pmod(F.xxhash64("id", "key"), F.lit(blocks)).cast("int")
-    many = max(-(-n // CANDIDATES), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)), 1)
-    few = max(-(-n_anchors // ANCHORS), 1)
+    rows_of = lambda components: max(1, components // max(1, dims))
+    many = max(-(-n // rows_of(CANDIDATES)), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)), 1)
+    few = max(-(-n_anchors // rows_of(ANCHORS)), 1)
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = rows.select("id", "label", "key", filled.cast(f"array<{kind}>").alias("x"))
     chosen = rows.where(anchor)

@@ -64,8 +64,8 @@ def test_equals_loops(spark, seed):
 
 
 def test_a_hot_vector_and_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(H, "CANDIDATES", 60)
-    monkeypatch.setattr(H, "ANCHORS", 3)
+    monkeypatch.setattr(H, "CANDIDATES", 180)
+    monkeypatch.setattr(H, "ANCHORS", 9)
     rnd = random.Random(3)
     rows = [(i, i % 3, [0.5, 0.5, 0.25] if i % 3 == 0 or i % 5 == 0 else [rnd.random() for _ in range(3)], 1, "x") for i in range(1200)]
     assert mined(spark, rows) == plain(rows)

@@ -1,8 +1,8 @@
 """Joins of an (entity, observation date) grid with dated events, and key checks.
 
-Grids hold month starts, so an event meets a bounded list of dates that its own
-row names: events are expanded to those months and joined on equality, instead
-of comparing each grid row with its entity's whole history.
+Dates are cut into buckets: an event is copied to the buckets that it touches and
+joined on entity and bucket, instead of comparing each grid row with its entity's
+whole history. Where only the latest event or a count is wanted, no pair is made.
 """
 
 from __future__ import annotations
@@ -26,30 +26,6 @@ def next_month(col: Column) -> Column:
     return F.add_months(F.trunc(col, "month"), 1)
 
 
-def _months(df: DataFrame, first: Column, last: Column, out: str = "obs") -> DataFrame:
-    df = df.withColumns({"_lo": first, "_hi": last}).where("_lo <= _hi")
-    return df.withColumn(out, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month")))).drop("_lo", "_hi")
-
-
-def expand_active(events: DataFrame, lo: str, hi: str, start: str = "start", end: str = "end") -> DataFrame:
-    """One row for each month start in [lo, hi] with start <= obs < end; an open end never comes."""
-    stop = F.coalesce(F.date_sub(F.col(end), 1), F.lit(OPEN).cast("date"))
-    return _months(events, F.greatest(first_month_from(F.col(start)), F.lit(lo).cast("date")), F.least(F.trunc(stop, "month"), F.lit(hi).cast("date")))
-
-
-def expand_forward(events: DataFrame, lo: str, hi: str, days: int, start: str = "start") -> DataFrame:
-    """One row for each month start in [lo, hi] with obs < start <= obs + days."""
-    first = first_month_from(F.date_sub(F.col(start), days))
-    return _months(events, F.greatest(first, F.lit(lo).cast("date")), F.least(F.trunc(F.date_sub(F.col(start), 1), "month"), F.lit(hi).cast("date")))
-
-
-def expand_window(events: DataFrame, lo: str, hi: str, months: int, start: str = "start") -> DataFrame:
-    """One row for each month start in [lo, hi] with obs - months <= start < obs."""
-    month = next_month(F.col(start))
-    last = F.when(F.trunc(F.col(start), "month") == F.col(start), F.add_months(F.col(start), months)).otherwise(F.add_months(month, months - 1))
-    return _months(events, F.greatest(month, F.lit(lo).cast("date")), F.least(last, F.lit(hi).cast("date")))
-
-
 #: Days of a bucket of the interval joins.
 BUCKET_DAYS = 64
 

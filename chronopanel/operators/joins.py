@@ -1,8 +1,9 @@
 """Joins of an (entity, observation date) grid with dated events, and key checks.
 
-Grids hold month starts, so an event meets a bounded list of dates that its own
-row names: events are expanded to those months and joined on equality, instead
-of comparing each grid row with its entity's whole history.
+Dates are cut into buckets: an event is copied to the buckets that it touches and
+joined on entity and bucket, instead of comparing each grid row with its entity's
+whole history. Where only the latest event or a count is wanted, no pair is made.
+The expansions of events to month starts are for grids of months alone.
 """
 
 from __future__ import annotations

@@ -121,3 +121,22 @@ def test_event_measures(spark):
     df = spark.createDataFrame([(D(2020, 1, 1), D(2020, 1, 5), D(2020, 2, 1), D(2020, 1, 3)), (None, D(2020, 1, 5), None, D(2020, 1, 8))], "a date, s date, e date, t date")
     got = [tuple(r) for r in H.event_measures(df, "a", "s", "e", "t").select("duration_days", "lead_days", "estimate_error_days", "suspect_dates").collect()]
     assert got == [(None, 4, -29, True), (3, None, None, False)]
+
+
+def test_spans_give_what_a_spine_gives(spark):
+    rows = [(i, "AB"[i % 2], D(2019, 6, 1) + dt.timedelta(37 * i % 800), D(2019, 6, 1) + dt.timedelta(37 * i % 800 + i % 90)) for i in range(60)]
+    entities = [("A", 1, "o", "g", D(2018, 1, 1), "MARKETED", None), ("A", 2, "p", "g", D(2020, 5, 5), "CANCELLED X", D(2020, 9, 9)), ("B", 3, "o", "h", D(2019, 1, 1), "MARKETED", None), ("C", 4, "o", "h", D(2020, 1, 1), "MARKETED", None)]
+    spine, events, e = frames(spark, rows, entities)
+    spans, keep = H.entity_spans(e, LO, HI), ("code", "owner")
+    families = (*H.FAMILIES, "label")
+    every = lambda s: sorted(map(str, H.own_history(s, events, LO, HI, families=families, keep=keep).select("entity", "obs", "code", "owner", *sorted(["events_all", "events_12m", "longest_days", "overdue_days", "days_since_first", "label", "in_event"])).collect()))
+    assert every(spans) == every(spine) and len(every(spans)) == spine.count()
+    # a row for each month is made after the last shuffle and sort, not before
+    plan = H.longest_prior(spans, events, LO, HI)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Window") and "explode(sequence" not in plan[plan.index("Window"):]
+
+
+def test_latest_family(spark):
+    spine, events, e = frames(spark, [(1, "A", D(2020, 2, 1), None), (3, "A", D(2020, 2, 20), None), (2, "A", D(2020, 2, 20), None)])
+    got = {r.obs: r.last for r in H.run_families(H.entity_spans(e, LO, HI), ["entity"], [H.latest_family(events, {"last": "event_id"}, ["event_id"])]).collect()}
+    assert got[D(2020, 2, 1)] is None and got[D(2020, 3, 1)] == 3

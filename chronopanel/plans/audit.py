@@ -60,9 +60,14 @@ def late_share(df: DataFrame, date: str, lag: str, limit: int) -> DataFrame:
 
 
 def several_statuses(df: DataFrame, key: str, status: str, attribute: str) -> DataFrame:
-    """Keys with several statuses: which, and whether another attribute agrees."""
-    out = df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(status)), " + ").alias("combo"), F.countDistinct(status).alias("n_status"), F.countDistinct(attribute).alias("n_attr"))
-    return out.where("n_status > 1").groupBy("combo").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n_attr") > 1).alias("inconsistent"))
+    """Keys with several statuses: which, and whether another attribute agrees.
+
+    Equal rows are put together before they are moved, so a key moves a row for each of its pairs of values and is not copied for each distinct count.
+    """
+    pairs = df.groupBy(F.col(key), F.col(status).alias("_s"), F.col(attribute).alias("_a")).agg(F.lit(1).alias("_one"))
+    out = pairs.groupBy(key).agg(F.array_sort(F.collect_set("_s")).alias("_all"), F.min("_a").alias("_least"), F.max("_a").alias("_most"))
+    out = out.where(F.size("_all") > 1).groupBy(F.array_join("_all", " + ").alias("combo"))
+    return out.agg(F.count("*").alias("n_keys"), F.count_if(F.col("_least") < F.col("_most")).alias("inconsistent"))
 
 
 def exit_shape(exits: DataFrame, entities: DataFrame) -> DataFrame:

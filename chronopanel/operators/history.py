@@ -60,10 +60,11 @@ def window_span(months: int, start: str = "start") -> tuple[Column, Column]:
     return month, last
 
 
-def deltas(events: DataFrame, keys: list[str], spans: dict[str, tuple[Column, Column]], points: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+def deltas(events: DataFrame, keys: list[str], spans: dict[str, tuple[Column, Column]], points: dict[str, tuple[Column, Column]] | None = None, reach: tuple[str, str] | None = None) -> DataFrame:
     """Events -> (keys, obs, names): +1 at a span's first month and -1 after its last, and the values of points in their months.
 
     Points that share a name's end in ``_max`` or ``_min`` are reduced so, all others are summed up. Months are null where there is none.
+    For a spine inside ``reach`` what comes before it is one row of its first month, what comes after it none.
     """
     points = points or {}
     columns = {n: F.lit(1) for n in spans} | {n: v for n, (_, v) in points.items()}
@@ -73,6 +74,8 @@ def deltas(events: DataFrame, keys: list[str], spans: dict[str, tuple[Column, Co
         marks += [mark(F.when(first <= last, first), n, F.lit(1)), mark(F.when(first <= last, F.add_months(last, 1)), n, F.lit(-1))]
     marks += [mark(month, n, value) for n, (month, value) in points.items()]
     rows = events.select(*keys, F.inline(F.array(*marks))).where("obs is not null")
+    if reach:
+        rows = rows.where(F.col("obs") <= F.lit(reach[1]).cast("date")).withColumn("obs", F.greatest("obs", F.lit(reach[0]).cast("date")))
     how = lambda n: F.max(n) if n.endswith("_max") else F.min(n) if n.endswith("_min") else F.sum(n)
     return rows.groupBy(*keys, "obs").agg(*[how(n).alias(n) for n in columns])
 
@@ -127,13 +130,13 @@ def _labels() -> dict[str, Column]:
 def forward_label(spine: DataFrame, events: DataFrame, lo: str, hi: str, horizon: int = 90) -> DataFrame:
     """Adds in_event and label: an event starts in (obs, obs + horizon] and none is on at obs."""
     clean = events.where("entity is not null and start is not null")
-    changes = deltas(clean, ["entity"], _label_spans(horizon))
+    changes = deltas(clean, ["entity"], _label_spans(horizon), reach=(lo, hi))
     own = ["obs", *[c for c in spine.columns if c not in ("obs", "from_obs", "to_obs")]]
     out = running(spine, changes, ["entity"], {"_on": F.sum("_on"), "_soon": F.sum("_soon")}, own)
     return out.withColumns(_labels()).select(*own, "in_event", "label")
 
 
-def id_deltas(events: DataFrame, keys: list[str], months: list[int], name: str, start: str = "start", distinct: str = "event_id", ever: str | None = None) -> DataFrame:
+def id_deltas(events: DataFrame, keys: list[str], months: list[int], name: str, start: str = "start", distinct: str = "event_id", ever: str | None = None, reach: tuple[str, str] | None = None) -> DataFrame:
     """(keys, obs, {name}_{n}m ...): changes of the number of distinct ids that started in [obs - n months, obs), and ``ever`` those of all time.
 
     Starts of one id count up to the month in which its next start takes over, so that its spans are apart; a start that
@@ -145,7 +148,7 @@ def id_deltas(events: DataFrame, keys: list[str], months: list[int], name: str,
     until = F.add_months(next_month(F.col("_next")), -1)
     spans = {f"{name}_{n}m": (window_span(n, start)[0], F.least(window_span(n, start)[1], until)) for n in months}
     points = {ever: (F.when(F.col("_nth") == 1, next_month(F.col(start))), F.lit(1))} if ever else None
-    return deltas(rows, keys, spans, points)
+    return deltas(rows, keys, spans, points, reach)
 
 
 def key_grid(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -176,7 +179,7 @@ def some(col: str) -> Column:
     return F.coalesce(col, F.lit(0))
 
 
-def own_family(events: DataFrame, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, horizon: int = 90) -> Family:
+def own_family(events: DataFrame, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, horizon: int = 90, reach: tuple[str, str] | None = None) -> Family:
     """Counts by window and of all time, recency, longest completed event, mean gap and overdue days, label (as ``forward_label``), as far as asked for.
 
     Ids are counted once in each window; gaps are between rows, so a repeated day is a gap of 0.
@@ -196,9 +199,9 @@ def own_family(events: DataFrame, months: tuple[int, ...] = (12, 36), families:
     if "label" in families:
         spans |= _label_spans(horizon)
         sums |= {"_on": F.sum("_on"), "_soon": F.sum("_soon")}
-    changes = deltas(clean, ["entity"], spans, points) if points or spans else None
+    changes = deltas(clean, ["entity"], spans, points, reach) if points or spans else None
     if "counts" in families:
-        ids = id_deltas(clean, ["entity"], list(months), "events", ever="_ids")
+        ids = id_deltas(clean, ["entity"], list(months), "events", ever="_ids", reach=reach)
         sums |= {f"_events_{n}m": F.sum(f"events_{n}m") for n in months} | {"_events_all": F.sum("_ids")}
         changes = ids if changes is None else changes.unionByName(ids, allowMissingColumns=True)
     added: dict[str, Column] = {}
@@ -219,7 +222,7 @@ def own_family(events: DataFrame, months: tuple[int, ...] = (12, 36), families:
 
 def own_history(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36), families: tuple[str, ...] = FAMILIES, keep: tuple[str, ...] = (), horizon: int = 90) -> DataFrame:
     """(entity, obs, columns to ``keep``) with the families asked for: counts, recency, longest, cycle, label."""
-    return run_families(spine, ["entity"], [own_family(events, months, families, horizon)], keep)
+    return run_families(spine, ["entity"], [own_family(events, months, families, horizon, (lo, hi))], keep)
 
 
 def prior_event_counts(spine: DataFrame, events: DataFrame, lo: str, hi: str, months: tuple[int, ...] = (12, 36)) -> DataFrame:

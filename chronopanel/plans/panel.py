@@ -35,7 +35,7 @@ def assemble_features(t: Tables, categories: bool = False) -> DataFrame:
     entities, events = settled(t.entities(categories)), settled(t.events())
     grid, exits = H.entity_spans(entities, LO, HI, also), t.exits()
     flags = {"is_generic": "F", "is_brand": "O"}
-    own = [H.own_family(events, families=(*H.FAMILIES, "label")), H.coverage_family(t.coverage(), flags), H.token_family(t.entity_tokens(), t.foreign_events(), HI)]
+    own = [H.own_family(events, families=(*H.FAMILIES, "label"), reach=(LO, HI)), H.coverage_family(t.coverage(), flags), H.token_family(t.entity_tokens(), t.foreign_events(), HI)]
     own += [H.latest_family(events.join(t.nations(), "reporter", "left"), {"last_nation": "nation"}, ["event_id"])] if categories else []
     df = H.run_families(grid, ["entity"], own, ("code", "owner", "grp", "first_date", *also))
     calendar = lambda key: H.key_grid(entities.where(F.col(key).isNotNull()), [key], LO, HI)

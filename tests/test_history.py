@@ -140,3 +140,12 @@ def test_latest_family(spark):
     spine, events, e = frames(spark, [(1, "A", D(2020, 2, 1), None), (3, "A", D(2020, 2, 20), None), (2, "A", D(2020, 2, 20), None)])
     got = {r.obs: r.last for r in H.run_families(H.entity_spans(e, LO, HI), ["entity"], [H.latest_family(events, {"last": "event_id"}, ["event_id"])]).collect()}
     assert got[D(2020, 2, 1)] is None and got[D(2020, 3, 1)] == 3
+
+
+def test_changes_outside_the_calendar_are_one_month_or_none(spark):
+    spine, events, e = frames(spark, [(i, "A", D(2000, 1, 1) + dt.timedelta(50 * i), D(2000, 1, 1) + dt.timedelta(50 * i + 9)) for i in range(200)])
+    changes = H.own_family(events, families=(*H.FAMILIES, "label"), reach=("2020-06-01", "2020-08-01")).changes
+    assert {r.obs for r in changes.collect()} <= {D(2020, 6, 1), D(2020, 7, 1), D(2020, 8, 1)}
+    short = {r.obs: r for r in H.own_history(H.entity_spans(e, "2020-06-01", "2020-08-01"), events, "2020-06-01", "2020-08-01").collect()}
+    whole = {r.obs: r for r in H.own_history(spine, events, LO, HI).collect()}
+    assert len(short) == 3 and all(whole[obs] == r for obs, r in short.items())

@@ -198,3 +198,24 @@ def test_a_dimension_of_any_side_tables(spark):
     assert [r.code for r in D.canonical_by_entity(D.build_dimension(base, sides), "entity", "status", ["only", "new2"]).orderBy("code").collect()] == [None, 2]
     with pytest.raises(ValueError, match="how"):
         D.build_dimension(base, {"x": D.Side(text, "any")})
+
+
+def test_a_large_month_is_written_by_several_tasks(spark, tmp_path):
+    from chronopanel.plans import panel as P
+
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        P.write_by_month(spark.range(0, 200_000, 1, 4).selectExpr("date'2000-01-01' as obs", "xxhash64(id) as entity"), str(tmp_path / "panel"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    assert len(list((tmp_path / "panel" / "obs=2000-01-01").glob("*.parquet"))) > 1 and spark.read.parquet(str(tmp_path / "panel")).count() == 200_000
+
+
+def test_several_statuses_move_no_row_twice(spark):
+    from chronopanel.plans import audit as A
+
+    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "a", "x"), (2, "a", "x"), (2, "b", "y"), (3, "a", "x"), (3, "a", "y"), (4, "b", None), (4, "a", None), (None, "a", "x"), (None, "b", "y")], "k int, s string, a string")
+    out = A.several_statuses(df, "k", "s", "a")
+    assert out.collect() == [("a + b", 4, 2)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()

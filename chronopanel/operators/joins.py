@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import in_ranges, running_sums
+from .staging import settled
 
 OPEN = "9999-12-31"
 
@@ -135,16 +136,39 @@ def overlap_pairs(events: DataFrame, entity: str = "entity", event_id: str = "ev
     return pairs.select("entity", "a_id", "a_start", "a_end", "b_id", "b_start", "b_end")
 
 
+#: Up to so many rows of an entity are compared with each other to count overlaps; the rows of larger ones are counted along a tree.
+FEW = 64
+
+
 def overlap_counts(events: DataFrame, entity: str = "entity", event_id: str = "event_id", start: str = "start", end: str = "end") -> DataFrame:
     """(entity, pairs): how many pairs ``overlap_pairs`` would give, without making one; entities without any are left out.
 
+    An entity of at most ``FEW`` rows is one row of a short list, compared with itself
+    there; only the others, found by a count first, go through the tree's ranks and ranges.
+    """
+    df = events.select(F.col(entity).alias("entity"), F.col(event_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_t")).where("entity is not null and _id is not null and _s is not null")
+    large = settled(df.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("entity"), "large")
+    if large.isEmpty():
+        return _few_overlaps(df)
+    return _few_overlaps(df.join(large, "entity", "left_anti")).unionByName(_tree_overlaps(settled(df.join(large, "entity", "left_semi"), "events")))
+
+
+def _few_overlaps(df: DataFrame) -> DataFrame:
+    """``overlap_counts`` of entities with few rows."""
+    lists = df.groupBy("entity").agg(F.collect_list(F.struct("_id", "_s", "_t")).alias("_all"))
+    partners = lambda a: F.size(F.filter("_all", lambda b: (a["_s"] < b["_s"]) & (b["_s"] < a["_t"]) & (a["_id"] < b["_id"])))
+    return lists.select("entity", F.aggregate("_all", F.lit(0).cast("bigint"), lambda n, a: n + partners(a)).alias("pairs")).where("pairs > 0")
+
+
+def _tree_overlaps(df: DataFrame) -> DataFrame:
+    """``overlap_counts`` of entities of any size.
+
     The partners of a are the events of greater id with a start inside a. Ids are
     ranked; the ranks above a's are a few whole blocks of a binary tree over them, one for each
     0 bit of the rank. In each block two running counts by date, at the end and at the start of a, differ
     by its partners there. So an event gives a few rows for each level of its entity's tree, and the
     counts run by ranges of (entity, block, date): a large entity is spread over many tasks.
     """
-    df = events.select(F.col(entity).alias("entity"), F.col(event_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_t")).where("entity is not null and _id is not null and _s is not null")
     ids = running_sums(df.select("entity", "_id").distinct(), ["entity"], ["_id"], {"_rank": F.lit(1)}, totals=True)
     ids = ids.select("entity", "_id", (F.col("_rank") - 1).alias("_rank"), F.ceil(F.log2(F.col("_rank_total"))).cast("int").alias("_levels"))
     df = df.join(ids, ["entity", "_id"]).where("_levels > 0")

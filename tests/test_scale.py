@@ -171,6 +171,18 @@ def test_a_hot_entitys_overlaps(spark, ranges):
     assert largest_share(ranges[-1:], ranges[-1][0].count()) < 0.15
 
 
+def test_overlaps_of_short_histories_are_not_ranked(spark, ranges):
+    rng = random.Random(7)
+    sizes = {f"e{i}": rng.randint(1, 12) for i in range(60)} | {"few": J.FEW, "more": J.FEW + 1}
+    rows = [(k, rng.choice([i, i, i // 2]), s := DAY + dt.timedelta(days=rng.randint(0, 90)), rng.choice([None, s + dt.timedelta(days=rng.randint(-3, 60))])) for k, n in sizes.items() for i in range(n)]
+    want = Counter(a[0] for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] and a[2] < b[2] < a[3])
+    count = lambda rows: {r.entity: r.pairs for r in J.overlap_counts(spark.createDataFrame(rows, "entity string, event_id int, start date, end date")).collect()}
+    assert count([r for r in rows if r[0] != "more"]) == {k: n for k, n in want.items() if k != "more"} and want["few"]
+    assert not ranges
+    assert count(rows) == dict(want)
+    assert ranges and {r.entity for df, _ in ranges for r in df.select("entity").distinct().collect()} == {"more"}
+
+
 def test_a_split_reads_its_own_months_alone(spark, tmp_path):
     from chronopanel.plans import panel as P
     from chronopanel.sources import io as S

@@ -25,40 +25,43 @@ class Side:
     at: str | None = None
 
 
-def _columns(name: str, how: str, sep: str) -> list[Column]:
-    own = F.col("_kind") == name
-    value, count = F.when(own, F.col("_value")), F.count_if(own & F.col("_value").isNotNull())
-    if how == "list":
-        return [F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name), count.alias(f"{name}_count")]
-    if how == "first":
-        return [F.min(value).alias(name), count.alias(f"{name}_count")]
-    if how == "last":
-        return [F.max(value).alias(name)]
-    if how == "earliest":
-        return [F.min(F.when(own, F.col("_from"))).alias(name)]
-    latest = F.max(F.when(own, F.struct("_to", "_value")))
-    return [latest["_value"].alias(name), latest["_to"].alias(f"{name}_since")]
+def _columns(name: str, side: Side, sep: str) -> tuple[Column, dict[str, Column]]:
+    """What the side gathers from the rows of a code under its name, and the columns made of that."""
+    value, found = F.col(side.value).cast("string"), F.col(name)
+    at = F.col(side.at).cast("date") if side.at else F.lit(None).cast("date")
+    if side.how in ("list", "first"):
+        one = F.nullif(F.array_join(F.array_sort(found), sep), F.lit("")) if side.how == "list" else F.array_min(found)
+        return F.collect_set(value), {name: one, f"{name}_count": F.when(found.isNull(), 0).otherwise(F.size(found)).cast("bigint")}
+    if side.how == "last":
+        return F.max(value), {name: found}
+    if side.how == "earliest":
+        return F.min(at), {name: found}
+    latest = F.max(F.when(value.isNotNull() | at.isNotNull(), F.struct(at.alias("at"), value.alias("value"))))
+    return latest, {name: found["value"], f"{name}_since": found["at"]}
 
 
 def build_dimension(base: DataFrame, sides: dict[str, Side], code: str = "code", sep: str = " + ") -> DataFrame:
     """The base rows with a column for each side table (list and first also ``<name>_count`` of distinct values, latest ``<name>_since``).
 
-    The side tables are tagged and put one under the other, reduced to distinct
-    (code, tag, value) and then to one row for each code that has all their columns: two
-    shuffles and one join, however many tables there are. A code of very many
-    rows is spread by its values in the first. Null values and codes count nowhere, of equal
-    latest dates the value that is last by text stays; a code without rows has nulls and counts of 0.
+    Side tables that are columns of one frame (the same object as ``rows``) are made in one pass over it: a
+    row is moved once, however many they are, and a task sends one row for each code that it has met, so
+    a code of very many rows is spread. Each frame is joined once. A code's distinct values of a
+    list or first are held together.
+    Null values and codes count nowhere, of equal latest dates the value that is last by text
+    stays; a code without rows has nulls and counts of 0.
     """
+    frames: dict[tuple[int, str], list[str]] = {}
     for name, side in sides.items():
         if side.how not in HOWS:
             raise ValueError(f"{name}: how must be one of {HOWS}")
-    tagged = [s.rows.select(F.col(s.code).alias("_code"), F.lit(n).alias("_kind"), F.col(s.value).cast("string").alias("_value"), (F.col(s.at).cast("date") if s.at else F.lit(None).cast("date")).alias("_at")) for n, s in sides.items()]
-    each = reduce(DataFrame.unionByName, tagged).where("_code is not null and (_value is not null or _at is not null)")
-    each = each.groupBy("_code", "_kind", "_value").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"))
-    one = each.groupBy("_code").agg(*[c for n, s in sides.items() for c in _columns(n, s.how, sep)])
-    out = base.join(one, base[code] == one["_code"], "left").drop("_code")
-    lists = {n: F.nullif(F.col(n), F.lit("")) for n, s in sides.items() if s.how == "list"}
-    return out.withColumns(lists).fillna(0, [f"{n}_count" for n, s in sides.items() if s.how in ("list", "first")])
+        frames.setdefault((id(side.rows), side.code), []).append(name)
+    made = {n: _columns(n, s, sep) for n, s in sides.items()}
+    out = base
+    for (_, own), names in frames.items():
+        rows = sides[names[0]].rows.where(F.col(own).isNotNull())
+        one = rows.groupBy(F.col(own).alias("_code")).agg(*[made[n][0].alias(n) for n in names])
+        out = out.join(one, base[code] == one["_code"], "left").drop("_code")
+    return out.select(*[base[c] for c in base.columns], *[col.alias(c) for _, columns in made.values() for c, col in columns.items()])
 
 
 def canonical_by_entity(dimension: DataFrame, entity: str, status: str, ranking: list[str], code: str = "code") -> DataFrame:

@@ -559,17 +559,16 @@ FROM part LEFT JOIN words ON p_partkey = words.code LEFT JOIN company c ON p_par
 
 def _dimension(t: Tables) -> DataFrame:
     """Parts with eight side tables: words, suppliers, forms, nations, classes, schedules, status history twice."""
-    items = t.items()
     makers = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
-    made = items.select("entity", "l_suppkey").join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
     orders = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "c_mktsegment")
-    asked = items.select("entity", "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = t.items().select("entity", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus", "d").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(makers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    items = items.withColumn("filled", F.when(F.col("l_linestatus") == "F", F.col("d"))).drop("l_suppkey", "s_suppkey", "l_orderkey", "o_orderkey")
     words = t.parts().select("entity", F.explode(F.split("p_name", " ")).alias("word"))
     side = lambda rows, value, how, at=None: D.Side(rows, how, "entity", value, at)
     sides = {
-        "ingredients": side(words, "word", "list"), "company": side(made, "s_name", "first"), "form": side(items, "l_returnflag", "first"), "route": side(made, "n_name", "first"),
-        "class_code": side(asked, "o_orderpriority", "last"), "class_name": side(asked, "c_mktsegment", "last"), "schedule": side(asked, "o_orderpriority", "first"),
-        "current_status": side(items, "l_linestatus", "latest", "d"), "first_marketed": side(items.where("l_linestatus = 'F'"), "l_linestatus", "earliest", "d"),
+        "ingredients": side(words, "word", "list"), "company": side(items, "s_name", "first"), "form": side(items, "l_returnflag", "first"), "route": side(items, "n_name", "first"),
+        "class_code": side(items, "o_orderpriority", "last"), "class_name": side(items, "c_mktsegment", "last"), "schedule": side(items, "o_orderpriority", "first"),
+        "current_status": side(items, "l_linestatus", "latest", "d"), "first_marketed": side(items, "l_linestatus", "earliest", "filled"),
     }
     return D.build_dimension(t.parts().select(F.col("entity").alias("code"), "owner", "grp"), sides)
 

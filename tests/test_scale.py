@@ -212,6 +212,30 @@ def test_a_dimension_of_any_side_tables(spark):
         D.build_dimension(base, {"x": D.Side(text, "any")})
 
 
+def test_side_tables_of_one_frame_are_one_pass(spark, tmp_path):
+    import __spark_entry__ as entry
+    from chronopanel.plans import dimension as D
+
+    rng = random.Random(8)
+    day = lambda: rng.choice([None, DAY + dt.timedelta(days=rng.randint(0, 40))])
+    rows = [(rng.choice([0, 0, rng.randint(1, 300), None]), rng.choice([None, "", "a", "b", str(rng.randint(0, 99))]), day()) for _ in range(6000)]
+    spark.createDataFrame(rows, "code int, v string, at date").repartition(7).write.parquet(str(tmp_path / "rows"))
+    frame, base = spark.read.parquet(str(tmp_path / "rows")), spark.range(0, 400).selectExpr("int(id) as code")
+    out = D.build_dimension(base, {h: D.Side(frame, h, value="v", at="at") for h in D.HOWS} | {"again": D.Side(frame, "first", value="at")})
+    assert out.columns == ["code", "list", "list_count", "first", "first_count", "last", "latest", "latest_since", "earliest", "again", "again_count"]
+    for r in out.collect():
+        own = [x for x in rows if x[0] == r.code]
+        values, dates = sorted({v for _, v, _ in own if v is not None}), sorted({str(d) for *_, d in own if d})
+        late = max(((str(d or ""), v is not None, v or "") for _, v, d in own if v is not None or d), default=("", False, ""))
+        assert r[1:6] == (" + ".join(values) or None, len(values), values[0] if values else None, len(values), values[-1] if values else None)
+        assert (r.latest, str(r.latest_since or "")) == (late[2] if late[1] else None, late[0])
+        assert (str(r.earliest or ""), r.again, r.again_count) == (dates[0] if dates else "", dates[0] if dates else None, len(dates))
+    scans = lambda df, col: sum("Relation" in x and f"{col}#" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert scans(out, "v") == 1
+    for name in ("o16_build_dimension", "o16_canonical_by_entity"):
+        assert scans(entry.queries()[name](spark, "/root/testdata/sf0.001"), "l_partkey") == 1
+
+
 def test_a_large_month_is_written_by_several_tasks(spark, tmp_path):
     from chronopanel.plans import panel as P
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import settled
 from ..operators.windows import prefer
 
 #: What a side table gives: the joined list of its distinct values, the first or last value by text, the value of the latest date, or the earliest date.
 HOWS = ("list", "first", "last", "latest", "earliest")
 
+#: Leaves rows of some codes alone: (rows, their column of codes) -> rows.
+Keep = Callable[[DataFrame, str], DataFrame]
+
 
 @dataclass
 class Side:
@@ -67,3 +71,20 @@ def build_dimension(base: DataFrame, sides: dict[str, Side], code: str = "code",
 def canonical_by_entity(dimension: DataFrame, entity: str, status: str, ranking: list[str], code: str = "code") -> DataFrame:
     """One row for each entity: the code of the best status in ``ranking``, then the lowest; rows without an entity are left out."""
     return prefer(dimension.where(F.col(entity).isNotNull()), [entity], status, ranking, [code])
+
+
+def canonical_dimension(base: DataFrame, sides: Callable[[Keep], dict[str, Side]], entity: str, status: str, ranking: list[str], code: str = "code", sep: str = " + ") -> DataFrame:
+    """What ``canonical_by_entity`` keeps of ``build_dimension``, where the status is a side table.
+
+    All base rows with the status alone are ranked first and the chosen ones are settled; only the side rows of
+    their codes are then joined and gathered. Where each code is its own entity that is the whole dimension.
+    ``sides`` makes the side tables, with what it is given called on each frame and its column of codes before joins.
+    """
+    own = sides(lambda rows, column: rows)[status]
+    if own.how == "latest" and own.at:  # of equal values the latest date is enough, and counts of pairs need no sort
+        rows = own.rows.groupBy(F.col(own.code).alias("code"), F.col(own.value).cast("string").alias("value")).agg(F.max(F.col(own.at).cast("date")).alias("at"))
+        own = Side(rows, "latest", at="at")
+    ranked = canonical_by_entity(build_dimension(base, {status: own}, code, sep), entity, status, ranking, code)
+    chosen = settled(ranked.select(*base.columns), "chosen")
+    codes = chosen.select(F.col(code).alias("_chosen"))
+    return build_dimension(chosen, sides(lambda rows, column: rows.join(codes, F.col(column) == F.col("_chosen"), "left_semi")), code, sep)

@@ -557,30 +557,34 @@ dim AS (SELECT p_partkey AS code, p_brand AS owner, p_type || '/' || p_size AS g
 FROM part LEFT JOIN words ON p_partkey = words.code LEFT JOIN company c ON p_partkey = c.entity LEFT JOIN form f ON p_partkey = f.entity LEFT JOIN route r ON p_partkey = r.entity LEFT JOIN class k ON p_partkey = k.entity LEFT JOIN (SELECT entity, schedule, (SELECT count(DISTINCT o_orderpriority) FROM full_ x WHERE x.entity = y.entity) AS schedule_count FROM schedule y) s ON p_partkey = s.entity LEFT JOIN status t ON p_partkey = t.entity LEFT JOIN marketed m ON p_partkey = m.entity)"""
 
 
-def _dimension(t: Tables) -> DataFrame:
-    """Parts with eight side tables: words, suppliers, forms, nations, classes, schedules, status history twice."""
+def _codes(t: Tables) -> DataFrame:
+    return t.parts().select(F.col("entity").alias("code"), "owner", "grp")
+
+
+def _sides(t: Tables, keep: D.Keep = lambda rows, column: rows) -> dict[str, D.Side]:
+    """Eight side tables of the parts: words, suppliers, forms, nations, classes, schedules, status history twice."""
     makers = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
     orders = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "c_mktsegment")
-    items = t.items().select("entity", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus", "d").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(makers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    items = keep(t.items().select("entity", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus", "d"), "entity")
+    items = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(makers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     items = items.withColumn("filled", F.when(F.col("l_linestatus") == "F", F.col("d"))).drop("l_suppkey", "s_suppkey", "l_orderkey", "o_orderkey")
-    words = t.parts().select("entity", F.explode(F.split("p_name", " ")).alias("word"))
+    words = keep(t.parts(), "entity").select("entity", F.explode(F.split("p_name", " ")).alias("word"))
     side = lambda rows, value, how, at=None: D.Side(rows, how, "entity", value, at)
-    sides = {
+    return {
         "ingredients": side(words, "word", "list"), "company": side(items, "s_name", "first"), "form": side(items, "l_returnflag", "first"), "route": side(items, "n_name", "first"),
         "class_code": side(items, "o_orderpriority", "last"), "class_name": side(items, "c_mktsegment", "last"), "schedule": side(items, "o_orderpriority", "first"),
         "current_status": side(items, "l_linestatus", "latest", "d"), "first_marketed": side(items, "l_linestatus", "earliest", "filled"),
     }
-    return D.build_dimension(t.parts().select(F.col("entity").alias("code"), "owner", "grp"), sides)
 
 
 @query("o16_build_dimension", DIMENSION + " SELECT * FROM dim")
 def _(t):
-    return _dimension(t)
+    return D.build_dimension(_codes(t), _sides(t))
 
 
 @query("o16_canonical_by_entity", DIMENSION + " SELECT * FROM dim WHERE grp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp ORDER BY CASE current_status WHEN 'O' THEN 0 WHEN 'F' THEN 1 WHEN current_status THEN 2 ELSE 3 END, code) = 1")
 def _(t):
-    return D.canonical_by_entity(_dimension(t), "grp", "current_status", ["O", "F"])
+    return D.canonical_dimension(_codes(t), lambda keep: _sides(t, keep), "grp", "current_status", ["O", "F"])
 
 
 @query("o17_build_panel", PANEL + " SELECT * FROM panel")

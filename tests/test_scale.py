@@ -236,6 +236,32 @@ def test_side_tables_of_one_frame_are_one_pass(spark, tmp_path):
         assert scans(entry.queries()[name](spark, "/root/testdata/sf0.001"), "l_partkey") == 1
 
 
+def test_a_canonical_dimension_gathers_the_chosen_codes_alone(spark):
+    import __spark_entry__ as entry
+    from chronopanel.plans import dimension as D
+
+    rng = random.Random(9)
+    day = lambda: rng.choice([None, DAY + dt.timedelta(days=rng.randint(0, 9))])
+    base = spark.createDataFrame([(None if i == 3 else i, rng.choice(["a", "b", "c", None]) if i > 3 else f"own {i}") for i in range(200)], "code int, entity string")
+    rows = [(rng.choice([1, rng.randint(0, 220), None]), rng.choice([None, "", "x", "y", "z"]), day()) for _ in range(2000)]
+    frame = spark.createDataFrame(rows, "k int, v string, at date")
+    kept = []
+
+    def sides(keep):
+        kept.append(keep(frame, "k"))
+        return {h: D.Side(kept[-1], h, "k", "v", "at") for h in D.HOWS}
+
+    for status, ranking in (("latest", ["y", "x"]), ("first", ["x"]), ("last", [])):
+        want = D.canonical_by_entity(D.build_dimension(base, sides(lambda rows, column: rows)), "entity", status, ranking)
+        got = D.canonical_dimension(base, sides, "entity", status, ranking)
+        assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        chosen = {r.code for r in got.collect() if r.code is not None}
+        assert got.count() == 7 and Counter(kept[-1].collect()) == Counter(r for r in rows if r[0] in chosen)
+    plan = entry.queries()["o16_canonical_by_entity"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: max(x.index("Join ") for x in plan if f"Join {kind}" in x) for kind in ("LeftSemi, (entity", "LeftOuter, (l_orderkey")}
+    assert depth["LeftSemi, (entity"] > depth["LeftOuter, (l_orderkey"], "items are reduced before they meet their orders"
+
+
 def test_a_large_month_is_written_by_several_tasks(spark, tmp_path):
     from chronopanel.plans import panel as P
 

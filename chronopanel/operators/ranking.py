@@ -52,7 +52,10 @@ def _curve(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
 
     The sums run by ranges of (key, score): a stratum of all rows, each with a score of its own, is spread over all tasks.
     """
-    steps = df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"), *more)
+    return _along(df.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").cast("bigint").alias("_p"), *more), keys)
+
+
+def _along(steps: DataFrame, keys: list[str]) -> DataFrame:
     return running_sums(steps, keys, ["score"], {"_n_to": F.col("_n"), "_p_to": F.col("_p")}, totals=True)
 
 
@@ -82,6 +85,11 @@ def pr_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     return _summed(_curve(df, keys), keys).select(*keys, _areas()[1])
 
 
+def pr_auc_of_counts(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``pr_auc`` of rows that are counted already: keys, distinct score, its rows (_n) and positives (_p)."""
+    return _summed(_along(steps, keys), keys).select(*keys, _areas()[1])
+
+
 def brier(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("brier"))
 

@@ -355,6 +355,10 @@ def exit_signals(exits: DataFrame, spine: DataFrame, lo: str, hi: str) -> tuple[
     return group, run_families(grid, ["owner"], [exit_family(exits, "owner", "owner_exits", [12])]).where("owner_exits_12m > 0")
 
 
+def _type_points(flags: dict[str, str]) -> dict[str, tuple[Column, Column]]:
+    return {f"_{k}_max": (F.lit(FIRST_MONTH).cast("date"), F.when(F.col("type") == v, 1).otherwise(0)) for k, v in flags.items()}
+
+
 def coverage_family(coverage: DataFrame, flags: dict[str, str] | None = None) -> Family:
     """Of each entity: jurisdictions and benefit rows of coverage that is on, and whether any of its rows, whenever, is of a type.
 
@@ -362,7 +366,6 @@ def coverage_family(coverage: DataFrame, flags: dict[str, str] | None = None) ->
     """
     first, last = active_span()
     flags = flags or {}
-    types = {f"_{k}_max": (F.lit(FIRST_MONTH).cast("date"), F.when(F.col("type") == v, 1).otherwise(0)) for k, v in flags.items()}
     rows = coverage.where("entity is not null").select("entity", "jurisdiction", "benefit", *(["type"] if flags else []), first.alias("_a"), last.alias("_b"))
     rows = rows if flags else rows.where("_a <= _b")
     w = Window.partitionBy("entity", "jurisdiction").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -370,7 +373,13 @@ def coverage_family(coverage: DataFrame, flags: dict[str, str] | None = None) ->
     rows = rows.withColumn("_from", F.greatest("_a", F.add_months(before, 1)))
     spans = {"_places": (F.when(F.col("jurisdiction").isNotNull(), F.col("_from")), F.col("_b")), "_benefit": (F.when(F.col("benefit"), F.col("_a")), F.col("_b"))}
     sums = {"_p": F.sum("_places"), "_q": F.sum("_benefit")} | {f"_{k}": F.max(f"_{k}_max") for k in flags}
-    return Family(deltas(rows, ["entity"], spans, types), sums, {"n_jurisdictions": some("_p"), "n_benefit_rows": some("_q")} | {k: some(f"_{k}") for k in flags})
+    return Family(deltas(rows, ["entity"], spans, _type_points(flags)), sums, {"n_jurisdictions": some("_p"), "n_benefit_rows": some("_q")} | {k: some(f"_{k}") for k in flags})
+
+
+def type_family(coverage: DataFrame, flags: dict[str, str]) -> Family:
+    """The type flags of ``coverage_family`` alone: a row for each entity."""
+    changes = deltas(coverage.where("entity is not null").select("entity", "type"), ["entity"], {}, _type_points(flags))
+    return Family(changes, {f"_{k}": F.max(f"_{k}_max") for k in flags}, {k: some(f"_{k}") for k in flags})
 
 
 def coverage_breadth(spine: DataFrame, coverage: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -21,7 +21,12 @@ def labelled_spine(t: Tables, lo: str = LO, hi: str = HI) -> DataFrame:
 CATEGORIES = ("type", "size_band", "kind")
 
 
-def assemble_features(t: Tables, categories: bool = False) -> DataFrame:
+#: Families of an entity that no model reads: coverage breadth and outside signals.
+BREADTH = ("n_jurisdictions", "n_benefit_rows")
+SIGNALS = ("foreign_match", "foreign_active", "foreign_12m")
+
+
+def assemble_features(t: Tables, categories: bool = False, signals: bool = True) -> DataFrame:
     """All feature families, and in_event and label, on the spine, whose rows stay one to one.
 
     Entities and events, both narrow, are settled once. What belongs to the entity (own
@@ -29,13 +34,14 @@ def assemble_features(t: Tables, categories: bool = False) -> DataFrame:
     running window, and so is what belongs to the owner and to the group; those are a row for each key and
     month, settled, so that Spark knows their size before it joins them and moves the spine for none that is small.
     With ``categories`` also the four beside the owner: type, size band and kind of the part, nation of its
-    last reporter before obs (null: none yet).
+    last reporter before obs (null: none yet). Without ``signals`` neither coverage breadth nor outside signals are made; all else is the same.
     """
     also = CATEGORIES if categories else ()
     entities, events = settled(t.entities(categories)), settled(t.events())
     grid, exits = H.entity_spans(entities, LO, HI, also), t.exits()
     flags = {"is_generic": "F", "is_brand": "O"}
-    own = [H.own_family(events, families=(*H.FAMILIES, "label"), reach=(LO, HI)), H.coverage_family(t.coverage(), flags), H.token_family(t.entity_tokens(), t.foreign_events(), HI)]
+    own = [H.own_family(events, families=(*H.FAMILIES, "label"), reach=(LO, HI))]
+    own += [H.coverage_family(t.coverage(), flags), H.token_family(t.entity_tokens(), t.foreign_events(), HI)] if signals else [H.type_family(t.coverage(), flags)]
     own += [H.latest_family(events.join(t.nations(), "reporter", "left"), {"last_nation": "nation"}, ["event_id"])] if categories else []
     df = H.run_families(grid, ["entity"], own, ("code", "owner", "grp", "first_date", *also))
     calendar = lambda key: H.key_grid(entities.where(F.col(key).isNotNull()), [key], LO, HI)
@@ -51,19 +57,19 @@ def assemble_features(t: Tables, categories: bool = False) -> DataFrame:
         zero(F.col("group_entities") - 1).alias("competing"), zero("group_owners").alias("group_owners"), H.guarded(F.col("own_entities"), F.col("group_entities")).alias("own_share"),
         "peer_events_12m", "peer_in_event_now", zero("group_exits_12m").alias("group_exits_12m"), zero("group_exits_36m").alias("group_exits_36m"), "days_since_group_exit",
         zero("owner_exits_12m").alias("owner_exits_12m"), H.guarded(F.col("owner_exits_12m"), F.col("portfolio")).alias("owner_exit_rate_12m"),
-        "n_jurisdictions", "n_benefit_rows", "is_generic", "is_brand", "foreign_match", "foreign_active", "foreign_12m",
+        *(BREADTH if signals else ()), "is_generic", "is_brand", *(SIGNALS if signals else ()),
         *(also + ("last_nation",) if categories else ()),
     )
 
 
-def build_panel(t: Tables, stamp: bool = False, categories: bool = False) -> DataFrame:
-    panel = assemble_features(t, categories)
+def build_panel(t: Tables, stamp: bool = False, categories: bool = False, signals: bool = True) -> DataFrame:
+    panel = assemble_features(t, categories, signals)
     return panel.withColumn("loaded_at", F.current_timestamp()) if stamp else panel
 
 
 def modelled(t: Tables) -> DataFrame:
     """Rows of the splits with what the models read and no more, settled: fits and predictions go over them many times, and the panel is built once."""
-    df = exclude_and_split(build_panel(t, categories=True))
+    df = exclude_and_split(build_panel(t, categories=True, signals=False))
     return settled(df.select("obs", "entity", "label", "split", *NUMERIC, *BOOLEAN, *CATEGORICAL), "modelled")
 
 

@@ -929,4 +929,4 @@ def _(t):
 @query("e18_feature_importance")
 def _(t):
     df = P.modelled(t)
-    return M.feature_importance(M.fit_boosted(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df)
+    return M.feature_importance(M.fit_binned(df.where("split = 'train'"), df.where("split = 'val'"), *BOOST), df)

@@ -281,3 +281,15 @@ def test_several_statuses_move_no_row_twice(spark):
     out = A.several_statuses(df, "k", "s", "a")
     assert out.collect() == [("a + b", 4, 2)]
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_models_panel_makes_no_signals_that_no_model_reads(spark, monkeypatch):
+    from chronopanel.plans import panel as P
+    from chronopanel.plans.proxy import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole = P.exclude_and_split(P.build_panel(t, categories=True))
+    monkeypatch.setattr(Tables, "foreign_events", lambda self: pytest.fail("outside signals are made"))
+    got = P.modelled(t)
+    want = P.settled(whole.select(got.columns))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
